@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -55,6 +56,7 @@ class Scratch:
 
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner runs beside
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ from graphloom.llm._shared import Scratch
 from graphloom.llm.suffix_sort import repeated_windows
 
 #: Bytes of the strings whose hash picks a window's anchor.
-GRAM = 32
+GRAM = 20
 #: Pieces of one anchor that a task sorts together. More are cut into pairs of such chunks.
 CHUNK = 4096
 #: Bytes sorted in one suffix array, and bytes of text that are hashed at once.
@@ -244,18 +244,22 @@ def repeated_ranges(scratch: Scratch, docs: DataFrame, window: int = 100, gram:
     """
     pieces = docs.mapInArrow(_occurrences(window, gram), "h bigint, g bigint, doc bigint, at bigint, first boolean")
     pieces = scratch.keep(pieces, "pieces")
+    inner = scratch.keep(pieces.where("not first").select("doc", "at"), "inner")
     once = pieces.where("first").drop("first")
-    anchors = once.groupBy("h").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("doc").alias("doc0"), F.count("*").alias("n"))
-    anchors = anchors.where("n > 1").select("h", "doc0", (F.col("g0") != F.col("g1")).alias("mixed"))
+    anchors = once.groupBy("h").agg(F.min("doc").alias("doc0"), F.max("doc").alias("doc1"), F.min("g").alias("g0"), F.max("g").alias("g1"))
+    anchors = anchors.where("doc0 < doc1 or g0 <> g1").select("h", "doc0", (F.col("g0") != F.col("g1")).alias("mixed"))
     shared = once.join(anchors, "h").where("mixed or doc > doc0").select("h", "g", "doc", "at", "mixed")
     shared = scratch.keep(shared, "shared")
+    scratch.drop(pieces)
     scratch.release_shuffles()
     mixed = shared.where("mixed").drop("mixed")
     classes = mixed.groupBy("h", "g").agg(F.min("doc").alias("doc0"))
     judged = mixed.join(classes, ["h", "g"])
     judged = scratch.keep(judged.select("h", "g", "doc", "at", (F.col("doc") > F.col("doc0")).alias("copy")), "judged")
-    copies = pieces.where("not first").select("doc", "at").union(shared.where("not mixed").select("doc", "at"))
-    copies = copies.union(judged.where("copy").select("doc", "at"))
+    copies = inner.union(shared.where("not mixed").select("doc", "at")).union(judged.where("copy").select("doc", "at"))
+    copies = scratch.keep(copies, "copies")
+    scratch.drop(shared)
+    scratch.release_shuffles()
     leads = judged.where("not copy")
     counts = leads.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     leads = leads.join(counts, "h").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
