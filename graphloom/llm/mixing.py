@@ -122,11 +122,12 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     start = F.greatest(F.col("begin") - F.col("block") * block, F.lit(0))
     end = F.least(F.col("begin") + F.col("size") - F.col("block") * block, F.lit(block))
     parts = parts.select("source", "stretch", "row", "block", start.alias("start"), end.alias("end"))
-    p, u = parts.alias("p"), used.alias("u")
+    # Both sides grow with the documents, which the size of the few sources that slots unfold from does not show.
+    p, u = parts.alias("p"), used.hint("merge").alias("u")
     both = p.join(u, F.col("p.source").eqNullSafe(F.col("u.source")) & (F.col("p.block") == F.col("u.block")))
     got = F.col("times") * (F.col("end") - F.col("start")) + F.greatest(F.least("end", "prefix") - F.col("start"), F.lit(0))
     taken = both.groupBy("p.source", "p.stretch", "p.row").agg(F.sum(got).alias("taken"))
-    d, t, s = placed.alias("d"), taken.alias("t"), sources.alias("s")
+    d, t, s = placed.alias("d"), taken.hint("merge").alias("t"), sources.alias("s")
     here = F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.stretch") == F.col("t.stretch")) & (F.col("d.row") == F.col("t.row"))
     out = d.join(t, here, "left").join(s, F.col("d.source").eqNullSafe(F.col("s.source")))
     return out.select("doc_id", "d.source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
