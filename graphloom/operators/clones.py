@@ -39,7 +39,9 @@ def similar_by_grams(units: DataFrame, similarity: float = 1 - DIFF_LIMIT) -> Da
     the rarest grams of each, those beyond which too few are left. Only such grams are joined, and candidates are counted
     on their whole sets.
     """
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(2)), " ")))
+    w = F.col("w")
+    pairs_of = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda x, y: F.concat_ws(" ", x, y))
+    grams = F.array_distinct(F.when(F.size(w) > 1, pairs_of).otherwise(w))
     sets = units.select("id", words(F.lower("text")).alias("w")).where(F.size("w") > 0).select("id", grams.alias("grams")).withColumn("n", F.size("grams"))
     each = sets.select("id", "n", F.explode("grams").alias("gram"))
     rarity = each.groupBy("gram").agg(F.count("*").alias("df"))
@@ -86,14 +88,24 @@ def ranked(pairs: DataFrame, categories: list[tuple[str, str, int]]) -> DataFram
     return pairs.withColumn("rank", rank)
 
 
+def _windows(w: Column, length: int) -> Column:
+    """All runs of `length` words, joined; doubled from runs of half the length, so no run is cut out word by word."""
+    if length == 1:
+        return w
+    half = length // 2
+    runs = _windows(w, half)
+    n = F.size(w) - length + 1
+    joined = F.zip_with(F.slice(runs, F.lit(1), n), F.slice(runs, F.lit(half + 1), n), lambda x, y: F.concat_ws(" ", x, y))
+    return joined if length % 2 == 0 else F.zip_with(joined, F.slice(w, F.lit(length), n), lambda x, y: F.concat_ws(" ", x, y))
+
+
 def token_runs(units: DataFrame, length: int = MIN_LENGTH, least: int = MIN_NUMBER) -> DataFrame:
     """(a, start_a, b, start_b, tokens): maximal runs of at least `length` words that two units(id, text) share, a < b.
 
     Windows of `length` words meet by hash and value; meetings on one diagonal with neighbouring starts merge into a run.
     """
     rows = units.select("id", words(F.col("text")).alias("w")).where(F.size("w") >= length)
-    starts = F.sequence(F.lit(1), F.size("w") - (length - 1))
-    windows = F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(length)), " "))
+    windows = _windows(F.col("w"), length)
     rows = rows.select("id", F.posexplode(windows).alias("at", "window")).withColumn("at", F.col("at") + 1)
     common = rows.groupBy(F.xxhash64("window").alias("h"), "window").agg(F.count_distinct("id").alias("k")).where(F.col("k") >= least)
     rows = rows.join(common.select("window"), "window", "left_semi")

