@@ -23,6 +23,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of a batch of texts, of which Python and the JVM hold a few at a time.
+TEXT_ROWS = 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold at most TEXT_ROWS rows, for the rest of the session. Spark reads that when a query starts,
+    and its default of 10,000 whole texts a batch is what fills workers. A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
+
+
 class Scratch:
     """Tables of one run below the shared folder. A table cuts lineage as checkpoint() does, but is compressed and
     columnar. Folders go when drop() is called, or with the driver's JVM."""

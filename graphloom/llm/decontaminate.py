@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm._shared import text_batches
+
 WIDTH, CONTAINMENT = 5, 0.8
 #: Bytes of test items that one pass over the documents takes along. A larger benchmark is searched in such blocks.
 BLOCK_BYTES = 32 << 20
@@ -120,6 +122,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", it
     whole. Rows that repeat an id are reported once. Documents stream past an index of the items, block by block, so
     neither side is shuffled.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     found = None
     for block in _blocks(items.select(F.col(item_key).cast("bigint").alias("id"), F.col(text).alias("text"))):
@@ -143,6 +146,7 @@ def _clean(index: ContainmentIndex, text: int):
 
 def without_contaminated(docs: DataFrame, items: DataFrame, item_key: str = "item_id", text: str = "text", width: int = WIDTH, containment: float = CONTAINMENT) -> DataFrame:
     """The rows of docs, all columns, that contain no test item."""
+    text_batches(docs.sparkSession)
     for block in _blocks(items.select(F.col(item_key).cast("bigint").alias("id"), F.col(text).alias("text"))):
         index = ContainmentIndex(block, width, containment)
         docs = docs.mapInArrow(_clean(index, docs.columns.index(text)), docs.schema)

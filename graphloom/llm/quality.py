@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm._shared import text_batches
+
 #: Labelled rows that a model is fitted on, at most: those of least hash of their id.
 FIT_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
@@ -218,10 +220,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def scored(docs: DataFrame, model: AdditiveModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score) of every row; null texts are empty."""
+    text_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(_scores(model), f"id {kind}, score double")
 
 
 def accepted(docs: DataFrame, model: AdditiveModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, that score at least `threshold`."""
+    text_batches(docs.sparkSession)
     return docs.mapInArrow(_accepts(model, docs.columns.index(text), threshold), docs.schema)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import Scratch, connected_components, forest
+from graphloom.llm._shared import Scratch, connected_components, forest, text_batches
 
 BITS = 64
 #: Fingerprints of one bucket that a task compares at once. Larger buckets are cut into pairs of such chunks.
@@ -57,6 +57,7 @@ def _fingerprints(width: int):
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
     """(id, fp) of every row; fp holds the 64 bits as a signed long."""
+    text_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(_fingerprints(width), "id bigint, fp bigint")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import Scratch
+from graphloom.llm._shared import Scratch, text_batches
 from graphloom.llm.suffix_sort import repeated_windows
 
 #: Bytes of the strings whose hash picks a window's anchor.
@@ -186,20 +186,23 @@ def _sorted_ranges(window: int):
         import gc
 
         gc.disable()  # lists of numbers only: nothing to find, much to walk
-        keys, docs, ats, pieces, held, key = [], [], [], [], 0, None
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(6)]
-            for h, ci, cj, doc, at, piece in zip(*columns):
-                if held > BLOCK and (h, ci, cj) != key:
-                    yield ranges(keys, docs, ats, pieces)
-                    docs, ats, pieces, held = [], [], [], 0
-                key = (h, ci, cj)
-                docs.append(doc)
-                ats.append(at)
-                pieces.append(piece)
-                held += len(piece)
-        if pieces:
-            yield ranges(keys, docs, ats, pieces)
+        try:
+            keys, docs, ats, pieces, held, key = [], [], [], [], 0, None
+            for batch in batches:
+                columns = [batch.column(k).to_pylist() for k in range(6)]
+                for h, ci, cj, doc, at, piece in zip(*columns):
+                    if held > BLOCK and (h, ci, cj) != key:
+                        yield ranges(keys, docs, ats, pieces)
+                        docs, ats, pieces, held = [], [], [], 0
+                    key = (h, ci, cj)
+                    docs.append(doc)
+                    ats.append(at)
+                    pieces.append(piece)
+                    held += len(piece)
+            if pieces:
+                yield ranges(keys, docs, ats, pieces)
+        finally:
+            gc.enable()  # the worker goes on to other tasks
 
     return run
 
@@ -282,6 +285,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     largest. Rows that repeat an id are places of one document: copies of a row are cut alike. kept is binary, or a
     string without characters that a cut has split if as_text.
     """
+    text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "suffix")
     place = F.coalesce(F.col(key).cast("bigint"), F.lit((1 << 63) - 1)).alias("_doc")
     rows = docs.select(place, F.col(text).cast("string").alias("_text"), *([F.col(key).alias("id")] if carry is None else carry))
