@@ -95,6 +95,12 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[label[child]]
 
 
+def and_end(batches):
+    """The batches, then None."""
+    yield from batches
+    yield None
+
+
 def _forests(batches):
     for frame in batches:
         if len(frame):

@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import Scratch, connected_components, forest, text_batches
+from graphloom.llm._shared import Scratch, and_end, connected_components, forest, text_batches
+from graphloom.llm.resemblance import link_sketches, lower, sketch
 
 BITS = 64
 #: Fingerprints of one bucket that a task compares at once. Larger buckets are cut into pairs of such chunks.
@@ -26,39 +27,50 @@ def covering_masks(radius: int, bits: int = BITS) -> list[int]:
     return [sum(1 << i for i in range(bits) if (owner[i] & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """64-bit SimHash of the word shingles of UTF-8 bytes, with repeats; 0 without words."""
+def shingle_hashes(text: bytes, width: int = 4):
+    """XXH64 of the word shingles of UTF-8 bytes, with repeats, in arrays of some; all words are one shingle if there are
+    fewer, and without words there is none."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # of bytes: A-Z only, and white space is \x20 \x09-\x0D
-    n = len(words)
-    if not n:
-        return 0
-    if n <= width:
-        return xxh64_intdigest(b" ".join(words), 42)  # one shingle: each of its bits is in over half
-    ones, total, step, join = np.zeros(BITS, np.int64), n - width + 1, 1 << 15, b" ".join
-    for at in range(0, total, step):
+    n, step, join = len(words), 1 << 15, b" ".join
+    if 0 < n <= width:
+        yield np.array([xxh64_intdigest(join(words), 42)], ">u8")
+        return
+    for at in range(0, n - width + 1, step):
         part = words[at : at + step + width - 1]
         shingles = map(join, zip(*(part[k:] for k in range(width))))
-        hashes = np.array([xxh64_intdigest(x, 42) for x in shingles], ">u8")
+        yield np.array([xxh64_intdigest(x, 42) for x in shingles], ">u8")
+
+
+def summary(text: bytes, width: int = 4, sketched: bool = False) -> tuple[int, bytes | None]:
+    """The 64-bit SimHash (0 without words) and, if asked for, the sketch of the shingles (None without words)."""
+    ones, total, least = np.zeros(BITS, np.int64), 0, None
+    for hashes in shingle_hashes(text, width):
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
+        total += len(hashes)
+        if sketched:
+            least = lower(hashes, least)
+    fp = int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
+    return fp, None if least is None else sketch(least)
 
 
-def _fingerprints(width: int):
+def _fingerprints(width: int, sketched: bool):
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            got = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", width) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], ["id", "fp"])
+            got = [summary(x.as_buffer().to_pybytes() if x.is_valid else b"", width, sketched) for x in texts]
+            columns = [batch.column(0), pa.array(np.array([fp for fp, _ in got], np.uint64).view(np.int64)), pa.array([x for _, x in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "sketch"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp) of every row; fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, sketched: bool = False) -> DataFrame:
+    """(id, fp, sketch) of every row; fp holds the 64 bits as a signed long, sketch is null unless asked for."""
     text_batches(docs.sparkSession)
-    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(_fingerprints(width), "id bigint, fp bigint")
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    return rows.mapInArrow(_fingerprints(width, sketched), "id bigint, fp bigint, sketch binary")
 
 
 def _links(radius: int):
@@ -79,7 +91,7 @@ def _links(radius: int):
 
     def run(batches):
         rest = None
-        for frame in _and_end(batches):
+        for frame in and_end(batches):
             last = frame is None
             frame = rest if last else frame if rest is None else pd.concat([rest, frame], ignore_index=True)
             if frame is None or not len(frame):
@@ -118,11 +130,6 @@ def _links(radius: int):
     return run
 
 
-def _and_end(batches):
-    yield from batches
-    yield None
-
-
 def link_fingerprints(reps: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
     """Edges (a, b) that join the same rows of reps(fp, rep), fp distinct, as all pairs within `radius` bits do.
 
@@ -146,17 +153,27 @@ def link_fingerprints(reps: DataFrame, radius: int = 4, chunk: int = CHUNK) -> D
     return rows.mapInPandas(_links(radius), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, similarity: float | None = None) -> DataFrame:
     """One row per row of docs: id, fp, component (smallest id reachable over links of at most `radius` bits).
 
+    With `similarity`, texts whose sets of shingles are that similar are linked too, by sketches: at 0.8 they differ in 8
+    bits and more, and tables that cover such a radius would be too many.
+
     Null and empty texts have the fingerprint 0 and link like any other. Rows that repeat an id each get a row. Rows
     with a null id are left out of links and have a null component unless another row has their fingerprint.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
-    fps = scratch.keep(fingerprints(docs, key, text, width), "fingerprints")
+    fps = scratch.keep(fingerprints(docs, key, text, width, similarity is not None), "fingerprints")
     reps = scratch.keep(fps.groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
-    parts = connected_components(scratch, link_fingerprints(reps.where("rep is not null"), radius))
+    edges = link_fingerprints(reps.where("rep is not null"), radius)
+    if similarity is not None:
+        edges = scratch.keep(edges, "links")
+        scratch.release_shuffles()
+        sketches = fps.where("sketch is not null").select("fp", "sketch").distinct()
+        sketches = scratch.keep(sketches.join(reps.where("rep is not null"), "fp").select("sketch", "rep"), "sketches")
+        edges = edges.union(scratch.keep(link_sketches(sketches, similarity), "similar"))
+    parts = connected_components(scratch, edges)
     classes = reps.join(parts, reps["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
     scratch.release_shuffles()
     return fps.join(classes, "fp", "left").select("id", "fp", "component")

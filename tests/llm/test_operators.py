@@ -139,3 +139,56 @@ def test_licenses(spark):
     got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame([(1, mit), (2, "text"), (3, None), (4, ""), (5, "Licensed under the Apache Licence, version 2.0")], "doc_id long, text string")).collect()}
     assert got == {1: "MIT", 2: None, 3: None, 4: None, 5: "Apache-2.0"}
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_simhash_similar_shingles(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(150, 400))]
+        rows.append((10 * k, " ".join(base)))
+        for c in range(1, 4):
+            words = list(base)
+            for _ in range(c * c):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(5000)}"
+            rows.append((10 * k + c, " ".join(words)))
+    rows += [(900, None), (901, ""), (902, "a b"), (903, "a b"), (None, "a b c d e f")]
+    df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, component string")
+    got = {r["id"]: r["component"] for r in simhash.near_duplicates(df, width=5, similarity=0.8).collect()}
+    sets = {}
+    for i, t in rows[:-5]:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    for a in sets:
+        for b in sets:
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            assert got[a] == got[b] or j < 0.85, (a, b, j)
+            assert got[a] != got[b] or a // 10 == b // 10
+    assert got[900] == got[901] == 900 and got[902] == got[903] == 902 and got[None] is None
+    assert simhash.near_duplicates(df.limit(0), width=5, similarity=0.8).count() == 0
+
+
+def test_sketch_buckets_in_chunks(spark):
+    from graphloom.llm import resemblance
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, resemblance.VALUES, np.uint8)
+    rows = []
+    for i in range(60):
+        own = base.copy() if i % 2 else rng.integers(0, 256, resemblance.VALUES, np.uint8)
+        own[:5] = base[:5]
+        own[5 + i] ^= 1
+        rows.append((bytearray(own.tobytes()), i))
+    df = spark.createDataFrame(rows, "sketch binary, rep long")
+    edges = [(r["a"], r["b"]) for r in resemblance.link_sketches(df, 0.8, chunk=7).collect()]
+    assert {x for e in edges for x in e} == set(range(1, 60, 2))
+    root = {i: i for i in range(60)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    assert len({find(i) for i in range(1, 60, 2)}) == 1
