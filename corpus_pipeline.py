@@ -16,8 +16,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies, by SimHash of word 5-shingles."""
-    groups = simhash.near_duplicates(docs, width=5)
+    """Keeps the document of smallest id of each group of near copies, by SimHash of word 5-shingles, similar by 0.8 or more."""
+    groups = simhash.near_duplicates(docs, width=5, similarity=0.8)
     spare = groups.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
     return docs.dropDuplicates(["doc_id"]).join(spare, "doc_id", "left_anti").select(docs.columns)
 
