@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.scratch import settled
+
 #: The largest difference of each metric at which a pair may still be a copy.
 DELTAS = {
     "arcs": 10, "decisions": 2, "loops": 2, "exits": 2, "nodes": 4, "avg_nesting": 2, "indep_path": 10, "messpass": 2, "throw": 2, "spawn": 1,
@@ -32,8 +34,9 @@ def exact_groups(units: DataFrame, least: int = MIN_NUMBER) -> DataFrame:
 
 
 def similar_by_grams(units: DataFrame, similarity: float = 1 - DIFF_LIMIT) -> DataFrame:
-    """(a, b, score): pairs a < b of units(id, text) with the Dice-Sorensen similarity of their sets of word pairs at or
-    above `similarity`.
+    """(a, members_a, b, members_b, score): pairs of classes of units(id, text) whose sets of word pairs have a
+    Dice-Sorensen similarity at or above `similarity`. Units of equal sets are one class, named by its least id, a < b;
+    a class of several units is also paired with itself. Units without words are left out.
 
     A pair of sets of sizes m <= n needs shared >= s (m + n) / 2, so n is at most m (2 - s) / s, and the pair shares one of
     the rarest grams of each, those beyond which too few are left. Only such grams are joined, and candidates are counted
@@ -41,23 +44,33 @@ def similar_by_grams(units: DataFrame, similarity: float = 1 - DIFF_LIMIT) -> Da
     """
     w = F.col("w")
     pairs_of = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda x, y: F.concat_ws(" ", x, y))
-    grams = F.array_distinct(F.when(F.size(w) > 1, pairs_of).otherwise(w))
-    sets = units.select("id", words(F.lower("text")).alias("w")).where(F.size("w") > 0).select("id", grams.alias("grams")).withColumn("n", F.size("grams"))
+    grams = F.array_sort(F.array_distinct(F.when(F.size(w) > 1, pairs_of).otherwise(w)))
+    every = units.select("id", words(F.lower("text")).alias("w")).where(F.size("w") > 0).select("id", grams.alias("grams"))
+    classes = every.groupBy(F.sha2(F.array_join("grams", "\n"), 256).alias("digest")).agg(F.min("id").alias("id"), F.count("*").alias("members"))
+    classes = settled(classes.select("id", "members"))
+    sets = every.join(classes, "id").dropDuplicates(["id"]).withColumn("n", F.size("grams"))
     each = sets.select("id", "n", F.explode("grams").alias("gram"))
     rarity = each.groupBy("gram").agg(F.count("*").alias("df"))
     # The share of a set that a match must hold is s / (2 - s) of it at least.
     order = Window.partitionBy("id").orderBy("df", "gram")
     least = F.ceil(F.col("n") * similarity / (2 - similarity) - 1e-9)
-    prefix = each.join(rarity.where("df > 1"), "gram").withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - least + 1)
+    prefix = each.join(rarity, "gram").withColumn("k", F.row_number().over(order)).where((F.col("k") <= F.col("n") - least + 1) & (F.col("df") > 1))
     a = prefix.select("gram", F.col("id").alias("a"), F.col("n").alias("na"))
     b = prefix.select("gram", F.col("id").alias("b"), F.col("n").alias("nb"))
     near = (F.least("na", "nb") * (2 - similarity) / similarity >= F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
     pairs = a.join(b, "gram").where(near).select("a", "b").distinct()
-    x = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
-    y = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
+    x = sets.select(F.col("id").alias("a"), F.col("members").alias("members_a"), F.col("grams").alias("ga"))
+    y = sets.select(F.col("id").alias("b"), F.col("members").alias("members_b"), F.col("grams").alias("gb"))
     both = pairs.join(x, "a").join(y, "b")
     score = F.size(F.array_intersect("ga", "gb")) * 2 / (F.size("ga") + F.size("gb"))
-    return both.select("a", "b", score.alias("score")).where(F.col("score") >= similarity - 1e-12)
+    out = both.select("a", "members_a", "b", "members_b", score.alias("score")).where(F.col("score") >= similarity - 1e-12)
+    return out.union(_own_pairs(classes))
+
+
+def _own_pairs(classes: DataFrame) -> DataFrame:
+    """Classes(id, members) of several units as pairs of the class with itself."""
+    n = F.col("members")
+    return classes.where("members > 1").select(F.col("id").alias("a"), n.alias("members_a"), F.col("id").alias("b"), n.alias("members_b"), F.lit(1.0).alias("score"))
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
@@ -66,13 +79,67 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def similar_by_edits(units: DataFrame, block: list[str], similarity: float = 1 - DIFF_LIMIT) -> DataFrame:
-    """(a, b, score): pairs a < b of units(id, text, block columns) of one block at or above `similarity`."""
-    a = units.select(*block, F.col("id").alias("a"), F.col("text").alias("ta"))
-    b = units.select(*block, F.col("id").alias("b"), F.col("text").alias("tb"))
-    length = F.abs(F.length("ta") - F.length("tb")) <= F.greatest(F.length("ta"), F.length("tb")) * (1 - similarity) + 1e-9
-    pairs = a.join(b, block).where((F.col("a") < F.col("b")) & length)
-    return pairs.select("a", "b", edit_similarity(F.col("ta"), F.col("tb")).alias("score")).where(F.col("score") >= similarity - 1e-12)
+def similar_by_edits(units: DataFrame, similarity: float = 1 - DIFF_LIMIT) -> DataFrame:
+    """(a, members_a, b, members_b, score): pairs of classes of units(id, text) with an edit similarity at or above
+    `similarity`, which is over 0.5. Units of equal texts (null counts as empty) are one class, named by its least id,
+    a < b; a class of several units is also paired with itself.
+
+    Texts of lengths m <= n may differ by t = (1 - s) n edits. Cut the shorter into t + 1 pieces: one is untouched, and
+    stands in the longer near its place, for piece i off by at most i on the left and t - i on the right. So both texts
+    meet under (m, n, i, piece), and only those that meet are compared.
+    """
+    if not 0.5 < similarity <= 1:
+        raise ValueError("similarity must be over 0.5")
+    texts = units.select("id", F.coalesce("text", F.lit("")).alias("text")).groupBy("text").agg(F.min("id").alias("id"), F.count("*").alias("members"))
+    texts = settled(texts.withColumn("n", F.length("text")))
+    text, own = F.col("text"), F.col("n")
+    edits = lambda n: F.floor(n * (1 - similarity) + 1e-9).cast("int")
+    start = lambda m, i, t: F.floor(m * i / (t + 1)).cast("int")
+    key = lambda m, n, i, piece: F.xxhash64(m, n, i, piece)
+    span = lambda x, y: F.when(x <= y, F.sequence(x, y)).otherwise(F.array().cast("array<int>"))
+
+    def piece(i, n):
+        at = start(own, i, edits(n))
+        return key(own, n, i, F.substr(text, at + 1, start(own, i + 1, edits(n)) - at))
+
+    def places(i, m):
+        t, at = edits(own), start(m, i, edits(own))
+        size, shift = start(m, i + 1, t) - at, own - m
+        first = F.greatest(F.lit(0), at - i, at + shift - (t - i))
+        last = F.least(own - size, at + i, at + shift + (t - i))
+        return F.transform(span(first, last), lambda p: key(m, own, i, F.substr(text, p + 1, size)))
+
+    longest = F.floor(own / similarity + 1e-9).cast("int")
+    kept = F.flatten(F.transform(span(own, longest), lambda n: F.transform(F.sequence(F.lit(0), edits(n)), lambda i: piece(i, n))))
+    asked = F.flatten(F.transform(span(own - edits(own), own), lambda m: F.flatten(F.transform(F.sequence(F.lit(0), edits(own)), lambda i: places(i, m)))))
+    short = texts.where("n > 0").select(F.col("id").alias("x"), F.explode(F.array_distinct(kept)).alias("key"))
+    long = texts.where("n > 0").select(F.col("id").alias("y"), F.explode(F.array_distinct(asked)).alias("key"))
+    met = short.join(long, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    a = texts.select(F.col("id").alias("a"), F.col("members").alias("members_a"), F.col("text").alias("ta"))
+    b = texts.select(F.col("id").alias("b"), F.col("members").alias("members_b"), F.col("text").alias("tb"))
+    pairs = met.join(a, "a").join(b, "b").select("a", "members_a", "b", "members_b", edit_similarity(F.col("ta"), F.col("tb")).alias("score"))
+    return pairs.where(F.col("score") >= similarity - 1e-12).union(_own_pairs(texts))
+
+
+def close_classes(units: DataFrame, block: list[str], deltas: dict[str, int]) -> DataFrame:
+    """Pairs of classes of units(id, block columns, whole-number measures) of one block whose measures differ by at most
+    their delta each: (block, a, members_a, b, members_b, and each measure m as m1 and m2). Units with equal block and
+    measures are one class, named by its least id; a class meets itself if it has several units, others once, a < b.
+
+    Measures are cut into cells one wider than the delta, so near classes lie in neighbouring cells; only those meet.
+    Units with a null in a block column or measure are left out.
+    """
+    names = list(deltas)
+    classes = settled(units.dropna(subset=[*block, *names]).groupBy(*block, *names).agg(F.min("id").alias("id"), F.count("*").alias("members")))
+    cell = lambda m: F.floor(F.col(m) / (deltas[m] + 1))
+    a = classes.select(*block, F.col("id").alias("a"), F.col("members").alias("members_a"), *[F.col(m).alias(f"{m}1") for m in names], *[cell(m).alias(f"{m}_cell") for m in names])
+    b = classes.select(*block, F.col("id").alias("b"), F.col("members").alias("members_b"), *[F.col(m).alias(f"{m}2") for m in names], *[cell(m).alias(f"{m}_cell") for m in names])
+    for m in names:
+        b = b.withColumn(f"{m}_cell", F.explode(F.array(*[F.col(f"{m}_cell") + k for k in (-1, 0, 1)])))
+    near = (F.col("a") < F.col("b")) | (F.col("a") == F.col("b")) & (F.col("members_a") > 1)
+    for m in names:
+        near = near & (F.abs(F.col(f"{m}1") - F.col(f"{m}2")) <= deltas[m])
+    return a.join(b, [*block, *[f"{m}_cell" for m in names]]).where(near).drop(*[f"{m}_cell" for m in names])
 
 
 def ranked(pairs: DataFrame, categories: list[tuple[str, str, int]]) -> DataFrame:
@@ -99,22 +166,30 @@ def _windows(w: Column, length: int) -> Column:
     return joined if length % 2 == 0 else F.zip_with(joined, F.slice(w, F.lit(length), n), lambda x, y: F.concat_ws(" ", x, y))
 
 
-def token_runs(units: DataFrame, length: int = MIN_LENGTH, least: int = MIN_NUMBER) -> DataFrame:
-    """(a, start_a, b, start_b, tokens): maximal runs of at least `length` words that two units(id, text) share, a < b.
+def token_runs(units: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
+    """(first, first_start, id, start, tokens): runs of at least `length` words that stand in units(id, text) earlier.
 
-    Windows of `length` words meet by hash and value; meetings on one diagonal with neighbouring starts merge into a run.
+    Each window of `length` words is linked with its first occurrence, by unit and place; links that go on side by side
+    are one run. Two units that share a run are so linked with a third or each other, without a row for every pair.
     """
     rows = units.select("id", words(F.col("text")).alias("w")).where(F.size("w") >= length)
-    windows = _windows(F.col("w"), length)
-    rows = rows.select("id", F.posexplode(windows).alias("at", "window")).withColumn("at", F.col("at") + 1)
-    common = rows.groupBy(F.xxhash64("window").alias("h"), "window").agg(F.count_distinct("id").alias("k")).where(F.col("k") >= least)
-    rows = rows.join(common.select("window"), "window", "left_semi")
-    a = rows.select("window", F.col("id").alias("a"), F.col("at").alias("i"))
-    b = rows.select("window", F.col("id").alias("b"), F.col("at").alias("j"))
-    meet = a.join(b, "window").where("a < b").select("a", "b", "i", (F.col("i") - F.col("j")).alias("d"))
-    order = Window.partitionBy("a", "b", "d").orderBy("i")
-    island = meet.withColumn("g", F.col("i") - F.row_number().over(order))
-    return island.groupBy("a", "b", "d", "g").agg(F.min("i").alias("start_a"), (F.count("*") + length - 1).alias("tokens")).select("a", "start_a", "b", (F.col("start_a") - F.col("d")).alias("start_b"), "tokens")
+    rows = rows.select("id", F.posexplode(_windows(F.col("w"), length)).alias("at", "window"))
+    rows = rows.select(F.sha2("window", 256).alias("window"), "id", (F.col("at") + 1).alias("at"))
+    first = rows.groupBy("window").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("k")).where("k > 1").select("window", "f")
+    meet = rows.join(first, "window").where((F.col("id") != F.col("f.id")) | (F.col("at") != F.col("f.at")))
+    meet = meet.select(F.col("f.id").alias("first"), "id", "at", (F.col("at") - F.col("f.at")).alias("d"))
+    island = meet.withColumn("g", F.col("at") - F.row_number().over(Window.partitionBy("first", "id", "d").orderBy("at")))
+    out = island.groupBy("first", "id", "d", "g").agg(F.min("at").alias("start"), (F.count("*") + length - 1).alias("tokens"))
+    return out.select("first", (F.col("start") - F.col("d")).alias("first_start"), "id", "start", "tokens")
+
+
+def first_links(units: DataFrame) -> DataFrame:
+    """(parent_a, i, parent_b, j, score): each of units(parent, at, text) with the first unit of equal normalised text, by
+    parent and place, unless it is that one. Units without words are left out."""
+    rows = units.select("parent", "at", F.sha2(normalised(F.col("text")), 256).alias("digest"), (normalised(F.col("text")) == "").alias("bare")).where("not bare")
+    first = rows.groupBy("digest").agg(F.min(F.struct("parent", "at")).alias("f"), F.count("*").alias("k")).where("k > 1").select("digest", "f")
+    meet = rows.join(first, "digest").where((F.col("parent") != F.col("f.parent")) | (F.col("at") != F.col("f.at")))
+    return meet.select(F.col("f.parent").alias("parent_a"), F.col("f.at").alias("i"), F.col("parent").alias("parent_b"), F.col("at").alias("j"), F.lit(1.0).alias("score"))
 
 
 def diagonal_runs(scores: DataFrame, limit: float = 1 - DIFF_LIMIT, gap: int = 0) -> DataFrame:
@@ -128,38 +203,84 @@ def diagonal_runs(scores: DataFrame, limit: float = 1 - DIFF_LIMIT, gap: int = 0
     return out.select("parent_a", "start_a", "parent_b", (F.col("start_a") - F.col("d")).alias("start_b"), "units")
 
 
-def _cliques(edges: list[tuple]) -> list[list]:
-    near: dict = {}
-    for a, b in edges:
-        if a != b:
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-    out, stack = [], [(set(), set(near), set())]
+def _cliques_from(node, near: dict) -> list[list]:
+    """The maximal cliques of two nodes or more whose least member is `node`; near holds its neighbours and, of each,
+    those that are neighbours of `node` too."""
+    out = []
+    stack = [([node], {x for x in near if x > node}, {x for x in near if x < node})]
     while stack:
         chosen, free, done = stack.pop()
-        if not free and not done:
-            if len(chosen) >= 2:
+        if not free:
+            if not done and len(chosen) > 1:
                 out.append(sorted(chosen))
             continue
         pivot = max(free | done, key=lambda v: len(near[v] & free))
         for v in list(free - near[pivot]):
-            stack.append((chosen | {v}, free & near[v], done & near[v]))
+            stack.append(([*chosen, v], free & near[v], done & near[v]))
             free.remove(v)
             done.add(v)
-    return sorted(out)
+    return out
 
 
 def clique_groups(pairs: DataFrame) -> DataFrame:
-    """(group_id, member): the maximal cliques of pairs(a, b); groups may overlap. Each connected part is one task's."""
-    from graphloom.operators.graphs import strong_components
+    """(group_id, member): the maximal cliques of pairs(a, b), in any order and number; groups may overlap.
 
-    both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    parts = strong_components(both.union(both.select("dst", "src")))
+    A clique is found at its least member, from that node's neighbourhood alone. Neighbourhoods come from triangles,
+    each listed once from its end of least degree, so hubs do not multiply.
+    """
     kind = pairs.schema["a"].dataType.simpleString()
+    edges = settled(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    adjacent = edges.union(edges.select("b", "a"))
+    degree = adjacent.groupBy("a").agg(F.count("*").alias("n"))
+    ranked_ = adjacent.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("n").alias("m")), "b")
+    out = settled(ranked_.where("n < m or n = m and a < b").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    wedges = out.join(out.select("u", F.col("v").alias("w")), "u").where("v < w")
+    triangles = wedges.join(edges.select(F.col("a").alias("v"), F.col("b").alias("w")), ["v", "w"], "left_semi").select("u", "v", "w")
+    corners = triangles.select("u", "v", "w").union(triangles.select("v", "u", "w")).union(triangles.select("w", "u", "v")).toDF("node", "x", "y")
+    rows = corners.union(adjacent.select("a", "b", "b"))
 
     def groups(frame: pd.DataFrame) -> pd.DataFrame:
-        found = _cliques(list(zip(frame["a"].tolist(), frame["b"].tolist())))
-        rows = [("-".join(map(str, g)), m) for g in found for m in g]
-        return pd.DataFrame(rows, columns=["group_id", "member"])
-
-    return pairs.join(parts, F.col("a") == F.col("node")).groupBy("component").applyInPandas(groups, f"group_id string, member {kind}")
+        near: dict = {}
+        for x, y in zip(frame["x"].tolist(), frame["y"].tolist()):
+            mine = near.setdefault(x, set())
+            if x != y:
+                mine.add(y)
+                near.setdefault(y, set()).add(x)
+        found = _cliques_from(frame["node"].iloc[0], near)
+        return pd.DataFrame([("-".join(map(str, g)), m) for g in found for m in g], columns=["group_id", "member"])
+
+    return rows.groupBy("node").applyInPandas(groups, f"group_id string, member {kind}")
+
+
+def merged_short(units: DataFrame, least: int = MIN_LENGTH) -> DataFrame:
+    """(parent, tokens): the parents of units(parent, tokens) below `least` tokens each that reach it together, a
+    separator between two counted as one."""
+    short = units.where(F.col("tokens") < least).groupBy("parent").agg((F.sum("tokens") + F.count("*") - 1).alias("tokens"))
+    return short.where(F.col("tokens") >= least)
+
+
+def without_contained(runs: DataFrame, group: list[str], start: str, length: str) -> DataFrame:
+    """runs less those that lie inside a longer run, or one of equal length that starts where they do and was kept, of the
+    same group columns."""
+    end = F.col(start) + F.col(length)
+    order = Window.partitionBy(*group).orderBy(F.col(start), end.desc())
+    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return runs.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") < end)).drop("_before")
+
+
+def consistent(pairs: DataFrame, names_a: str, names_b: str) -> DataFrame:
+    """The pairs whose lists of names, place by place, map one to one: the same binding in both. Lists of different
+    lengths do not."""
+    both = F.arrays_zip(F.col(names_a).alias("x"), F.col(names_b).alias("y"))
+    sizes = F.size(F.array_distinct(F.col(names_a))), F.size(F.array_distinct(F.col(names_b))), F.size(F.array_distinct(both))
+    return pairs.where((F.size(names_a) == F.size(names_b)) & (sizes[0] == sizes[2]) & (sizes[1] == sizes[2]))
+
+
+def clone_matrix(units: DataFrame, limit: float = 1 - DIFF_LIMIT, gap: int = 0, measure: str = "dice") -> DataFrame:
+    """Runs of similar units at neighbouring places of two parents, from units(id, parent, at, text): diagonal_runs() of
+    the pairs that `measure` (dice, edits) finds at `limit` or above, all members of two classes linked through the first."""
+    find = {"dice": similar_by_grams, "edits": similar_by_edits}[measure]
+    pairs = find(units.select("id", "text"), limit)
+    at = lambda s, i: units.select(F.col("id").alias(s), F.col("parent").alias(f"parent_{s}"), F.col("at").alias(i))
+    rows = pairs.where("a <> b").join(at("a", "i"), "a").join(at("b", "j"), "b").select("parent_a", "i", "parent_b", "j", "score")
+    return diagonal_runs(rows.union(first_links(units.select("parent", "at", "text"))).distinct(), limit, gap)

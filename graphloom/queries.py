@@ -100,11 +100,11 @@ _path("q_closure_filter", "nations.(partner[regionkey == 2])+", GN, f"""WITH REC
 _path("q_closure_values", "nations[key == 3].(partner)+.name", V, f"WITH RECURSIVE {_PARTNER}, {_REACH} SELECT DISTINCT n_name AS value FROM reach JOIN nation ON n_nationkey = node WHERE root = 3")
 
 
-@_register("q_chains", f"""WITH RECURSIVE {_PARTNER}, c AS (SELECT [n_nationkey] AS p, false AS cyclic FROM nation WHERE n_nationkey < 5
+@_register("q_chains", f"""WITH RECURSIVE {_PARTNER}, c AS (SELECT [n_nationkey] AS p, false AS cyclic FROM nation
     UNION ALL SELECT list_append(p, dst), list_contains(p, dst) FROM c JOIN partner ON src = p[-1] WHERE NOT cyclic)
     SELECT DISTINCT array_to_string(p, '>') AS chain, cyclic FROM c WHERE cyclic OR NOT EXISTS (SELECT 1 FROM partner WHERE src = p[-1])""")
 def q_chains(spark, sf_dir):
-    out = run(driver_catalog(spark, sf_dir), "nations[key < 5].(partner)+").df
+    out = run(driver_catalog(spark, sf_dir), "nations.(partner)+").df
     return out.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("chain"), "cyclic").distinct()
 
 
@@ -300,32 +300,39 @@ def q_clone_exact(spark, sf_dir):
     return clones.exact_groups(_units(spark, sf_dir)).select("members", "first")
 
 
-@_register("q_clone_lev", """WITH d AS (SELECT doc_id, source, lang, substr(text, 1, 200) AS t FROM documents WHERE length(text) > 100 AND doc_id % 1 = 0)
-    SELECT a.doc_id AS a, b.doc_id AS b, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 9) AS score FROM d a JOIN d b ON a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id
-    WHERE 1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) >= 0.9 - 1e-12""".replace(" AND doc_id % 1 = 0", ""))
+@_register("q_clone_lev", """WITH d AS (SELECT p_name AS t, min(p_partkey) AS id, count(*) AS n FROM part GROUP BY 1)
+    SELECT a.id AS a, a.n AS members_a, b.id AS b, b.n AS members_b, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 9) AS score FROM d a JOIN d b ON a.id < b.id
+    WHERE 1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) >= 0.7 - 1e-12 UNION ALL SELECT id, n, id, n, 1.0 FROM d WHERE n > 1""")
 def q_clone_lev(spark, sf_dir):
-    heads = _units(spark, sf_dir).where(F.length("text") > 100).withColumn("text", F.substring("text", 1, 200))
-    return clones.similar_by_edits(heads, ["source", "lang"]).select("a", "b", F.round("score", 9).alias("score"))
+    names = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    return clones.similar_by_edits(names, 0.7).withColumn("score", F.round("score", 9))
 
 
-@_register("q_clone_rank", """WITH d AS (SELECT p_partkey AS id, p_brand, p_size AS x, length(p_name) AS y, length(p_type) AS z FROM part),
-    p AS (SELECT a.id AS a, b.id AS b, (a.x = b.x)::INT + (a.y = b.y)::INT + (a.z = b.z)::INT AS eq, abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 3 AND abs(a.z - b.z) <= 3 AS ok FROM d a JOIN d b ON a.p_brand = b.p_brand AND a.id < b.id)
-    SELECT a, b, CASE WHEN eq = 3 THEN 1 WHEN eq >= 2 THEN 2 WHEN eq >= 1 THEN 4 ELSE 5 END AS rank FROM p WHERE ok""")
+def q_clone_dice(spark, sf_dir):
+    return clones.similar_by_grams(_units(spark, sf_dir))
+
+
+QUERIES["q_clone_dice"] = q_clone_dice  # its SQL is too slow on whole tables: tests hold it against all pairs
+
+
+@_register("q_clone_rank", """WITH d AS (SELECT min(p_partkey) AS id, count(*) AS n, p_brand, p_size AS x, length(p_name) AS y, length(p_type) AS z FROM part GROUP BY p_brand, x, y, z),
+    p AS (SELECT a.id AS a, a.n AS members_a, b.id AS b, b.n AS members_b, (a.x = b.x)::INT + (a.y = b.y)::INT + (a.z = b.z)::INT AS eq, abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 3 AND abs(a.z - b.z) <= 3 AS ok
+    FROM d a JOIN d b ON a.p_brand = b.p_brand AND (a.id < b.id OR a.id = b.id AND a.n > 1))
+    SELECT a, members_a, b, members_b, CASE WHEN eq = 3 THEN 1 WHEN eq >= 2 THEN 2 WHEN eq >= 1 THEN 4 ELSE 5 END AS rank FROM p WHERE ok""")
 def q_clone_rank(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").alias("x"), F.length("p_name").alias("y"), F.length("p_type").alias("z"))
-    a = p.select("p_brand", F.col("p_partkey").alias("a"), *[F.col(c).alias(f"{c}1") for c in "xyz"])
-    b = p.select("p_brand", F.col("p_partkey").alias("b"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
-    pairs = a.join(b, "p_brand").where("a < b")
-    return clones.ranked(pairs, [("x1", "x2", 2), ("y1", "y2", 3), ("z1", "z2", 3)]).where("rank is not null").select("a", "b", "rank")
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", F.col("p_size").alias("x"), F.length("p_name").alias("y"), F.length("p_type").alias("z"))
+    deltas = {"x": 2, "y": 3, "z": 3}
+    pairs = clones.close_classes(p, ["p_brand"], deltas)
+    return clones.ranked(pairs, [(f"{m}1", f"{m}2", d) for m, d in deltas.items()]).where("rank is not null").select("a", "members_a", "b", "members_b", "rank")
 
 
 _RUN_SQL = """w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
-    r AS (SELECT doc_id, unnest(generate_series(1, len(w) - 31)) AS i, w FROM w WHERE len(w) >= 32), g AS (SELECT doc_id, i, array_to_string(w[i:i + 31], ' ') AS x FROM r)"""
+    r AS (SELECT doc_id, unnest(generate_series(1, len(w) - 31)) AS i, w FROM w WHERE len(w) >= 32), g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 31], ' ')) AS x FROM r)"""
 
 
-@_register("q_clone_ngrams", f"""WITH {_RUN_SQL}, m AS (SELECT a.doc_id AS a, b.doc_id AS b, a.i, a.i - b.i AS d FROM g a JOIN g b ON a.x = b.x AND a.doc_id < b.doc_id),
-    s AS (SELECT *, i - row_number() OVER (PARTITION BY a, b, d ORDER BY i) AS k FROM m)
-    SELECT a, min(i)::INT AS start_a, b, (min(i) - d)::INT AS start_b, count(*) + 31 AS tokens FROM s GROUP BY a, b, d, k""")
+@_register("q_clone_ngrams", f"""WITH {_RUN_SQL}, f AS (SELECT *, first_value(doc_id) OVER t AS fd, first_value(i) OVER t AS fi FROM g WINDOW t AS (PARTITION BY x ORDER BY doc_id, i)),
+    m AS (SELECT fd, doc_id AS id, i, i - fi AS d FROM f WHERE doc_id <> fd OR i <> fi), s AS (SELECT *, i - row_number() OVER (PARTITION BY fd, id, d ORDER BY i) AS k FROM m)
+    SELECT fd AS first, (min(i) - d)::INT AS first_start, id, min(i)::INT AS start, count(*) + 31 AS tokens FROM s GROUP BY fd, id, d, k""")
 def q_clone_ngrams(spark, sf_dir):
     return clones.token_runs(_units(spark, sf_dir).select("id", "text"))
 
@@ -338,14 +345,15 @@ def q_clone_groups(spark, sf_dir):
 QUERIES["q_clone_groups"] = q_clone_groups  # maximal cliques: tests hold them against small cases
 
 
-@_register("q_clone_diagonal", """WITH s AS (SELECT conv_id AS c, turn AS i, length(text) // 100 AS v FROM conversations), p AS (SELECT a.c AS ca, b.c AS cb, a.i AS i, b.i AS j FROM s a JOIN s b ON a.v = b.v AND a.c < b.c AND a.i = b.i WHERE a.c < 30 AND b.c < 30),
-    g AS (SELECT *, i - row_number() OVER (PARTITION BY ca, cb, i - j ORDER BY i) AS k FROM p) SELECT ca AS parent_a, min(i) AS start_a, cb AS parent_b, min(j) AS start_b, (max(i) - min(i) + 1) AS units FROM g GROUP BY ca, cb, i - j, k""")
+@_register("q_clone_diagonal", """WITH l AS (SELECT doc_id AS p, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+    u AS (SELECT p, i, trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) AS t FROM l WHERE trim(regexp_replace(t, '\\s+', ' ', 'g')) <> ''),
+    f AS (SELECT *, first_value(p) OVER w AS fp, first_value(i) OVER w AS fi FROM u WINDOW w AS (PARTITION BY t ORDER BY p, i)), m AS (SELECT fp, fi, p, i, fi - i AS d FROM f WHERE fp <> p OR fi <> i),
+    n AS (SELECT *, CASE WHEN fi - lag(fi) OVER w > 2 OR lag(fi) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM m WINDOW w AS (PARTITION BY fp, p, d ORDER BY fi)),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY fp, p, d ORDER BY fi) AS run FROM n)
+    SELECT fp AS parent_a, min(fi) AS start_a, p AS parent_b, min(i) AS start_b, max(fi) - min(fi) + 1 AS units FROM r GROUP BY fp, p, d, run""")
 def q_clone_diagonal(spark, sf_dir):
-    s = _t(spark, sf_dir, "conversations").where("conv_id < 30").select("conv_id", "turn", F.floor(F.length("text") / 100).alias("v"))
-    a = s.select(F.col("conv_id").alias("parent_a"), F.col("turn").alias("i"), "v")
-    b = s.select(F.col("conv_id").alias("parent_b"), F.col("turn").alias("j"), "v")
-    pairs = a.join(b, "v").where("parent_a < parent_b and i = j").withColumn("score", F.lit(1.0))
-    return clones.diagonal_runs(pairs)
+    lines = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent"), F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    return clones.diagonal_runs(clones.first_links(lines.withColumn("at", F.col("at") + 1)), gap=1)
 
 
 # --- other analyses
@@ -380,6 +388,3 @@ def q_help(spark, sf_dir):
     from graphloom.functions.statistics import NAMES
 
     return spark.createDataFrame(sorted(NAMES.items()), "name string, kind string")
-
-
-

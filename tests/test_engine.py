@@ -1,5 +1,7 @@
 """Golden and metamorphic tests of the query language on small program graphs."""
 
+import random
+
 import pytest
 
 from graphloom.operators import clones, graphs
@@ -79,5 +81,97 @@ def test_graphs(spark):
     assert {(r["src"], r["dst"]) for r in graphs.cyclic(e).collect()} == {(1, 2), (2, 3), (3, 1), (5, 5)}
 
 
-def test_cliques():
-    assert clones._cliques([(1, 2), (2, 3), (1, 3), (3, 4)]) == [[1, 2, 3], [3, 4]]
+def test_cliques(spark):
+    rng = random.Random(3)
+    edges = [(1, 2), (2, 3), (1, 3), (3, 4)] + [(rng.randrange(10, 22), rng.randrange(10, 22)) for _ in range(50)]
+    got = {}
+    for r in clones.clique_groups(spark.createDataFrame(edges, "a int, b int")).collect():
+        got.setdefault(r["group_id"], set()).add(r["member"])
+    near = {(a, b) for a, b in edges if a != b} | {(b, a) for a, b in edges if a != b}
+    nodes_ = {x for e in near for x in e}
+    every = {frozenset(c) for c in _all_cliques(sorted(nodes_), near)}
+    assert {frozenset(g) for g in got.values()} == {c for c in every if len(c) > 1 and not any(c < d for d in every)}
+
+
+def _all_cliques(nodes_, near):
+    out = [[]]
+    for v in nodes_:
+        out += [[*c, v] for c in out if all((x, v) in near for x in c)]
+    return out
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def _classes(texts, key):
+    out = {}
+    for i, t in sorted(texts):
+        out.setdefault(key(t), []).append(i)
+    return {v[0]: (k, len(v)) for k, v in out.items()}
+
+
+def test_similar_by_edits(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 26))) for _ in range(40)]
+    words += ["".join(rng.choice("abc") if rng.random() < 0.08 else c for c in w) + rng.choice(["", "b"]) for w in words] + ["", None, words[3]]
+    texts = list(enumerate(words))
+    for s in (0.7, 0.9):
+        got = {(r["a"], r["members_a"], r["b"], r["members_b"], round(r["score"], 6)) for r in clones.similar_by_edits(spark.createDataFrame(texts, "id int, text string"), s).collect()}
+        classes = _classes(texts, lambda t: t or "")
+        want = {(a, n, a, n, 1.0) for a, (_, n) in classes.items() if n > 1}
+        for a, (x, n) in classes.items():
+            for b, (y, m) in classes.items():
+                score = 1 - _distance(x, y) / max(len(x), len(y), 1)
+                if a < b and score >= s - 1e-12:
+                    want.add((a, n, b, m, round(score, 6)))
+        assert got == want
+    assert clones.similar_by_edits(spark.createDataFrame([], "id int, text string")).count() == 0
+
+
+def test_similar_by_grams(spark):
+    rng = random.Random(8)
+    base = [[rng.choice("abcdefghijkl") for _ in range(rng.randrange(1, 40))] for _ in range(25)]
+    rows = [" ".join(w) for w in base] + [" ".join(w[1:] + ["z"]) for w in base] + [" ".join(w) + " q" for w in base] + ["", None, " ".join(base[0])]
+
+    def grams(t):
+        w = (t or "").split()
+        return frozenset(zip(w, w[1:])) or frozenset(w)
+
+    texts = [(i, t) for i, t in enumerate(rows) if grams(t)]
+    classes = _classes(texts, grams)
+    want = {(a, n, a, n) for a, (_, n) in classes.items() if n > 1}
+    want |= {(a, n, b, m) for a, (x, n) in classes.items() for b, (y, m) in classes.items() if a < b and 2 * len(x & y) / (len(x) + len(y)) >= 0.8 - 1e-12}
+    got = clones.similar_by_grams(spark.createDataFrame(list(enumerate(rows)), "id int, text string"), 0.8)
+    assert {(r["a"], r["members_a"], r["b"], r["members_b"]) for r in got.collect()} == want
+
+
+def test_runs_and_bindings(spark):
+    w = [f"t{i}" for i in range(40)]
+    rows = [(1, " ".join(w)), (2, "x " + " ".join(w[3:]) + " y"), (3, " ".join(w[:31])), (4, None)]
+    got = [tuple(r) for r in clones.token_runs(spark.createDataFrame(rows, "id int, text string")).collect()]
+    assert got == [(1, 4, 2, 2, 37)]
+    pairs = spark.createDataFrame([(1, ["A", "B", "A"], ["X", "Y", "X"]), (2, ["A", "B"], ["X", "X"]), (3, ["A"], ["X", "Y"])], "k int, p array<string>, q array<string>")
+    assert [r["k"] for r in clones.consistent(pairs, "p", "q").collect()] == [1]
+    runs = spark.createDataFrame([(1, 1, 10), (1, 2, 5), (1, 5, 9), (2, 2, 5)], "g int, s int, n int")
+    assert sorted(map(tuple, clones.without_contained(runs, ["g"], "s", "n").collect())) == [(1, 1, 10), (1, 5, 9), (2, 2, 5)]
+    short = spark.createDataFrame([(1, 20), (1, 11), (2, 30), (2, 1), (3, 40)], "parent int, tokens int")
+    assert sorted(map(tuple, clones.merged_short(short).collect())) == [(1, 32), (2, 32)]
+    units = spark.createDataFrame([(p * 10 + k, p, k, t) for p in (1, 2) for k, t in enumerate(["a b c", "d e f", f"only {p} here x"])], "id int, parent int, at int, text string")
+    assert [tuple(r) for r in clones.clone_matrix(units).collect()] == [(1, 0, 2, 0, 2)]
+
+
+def test_close_classes(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice("pq"), rng.randrange(12), rng.randrange(12)) for i in range(150)] + [(900, None, 1, 1), (901, "p", None, 1)]
+    got = clones.close_classes(spark.createDataFrame(rows, "id int, k string, x int, y int"), ["k"], {"x": 2, "y": 0})
+    classes = {}
+    for i, *key in rows[:150]:
+        classes.setdefault(tuple(key), []).append(i)
+    want = sorted((u[0], v[0]) for a, u in classes.items() for b, v in classes.items() if a[0] == b[0] and abs(a[1] - b[1]) <= 2 and a[2] == b[2] and (u[0] < v[0] or a == b and len(u) > 1))
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == want
