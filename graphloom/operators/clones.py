@@ -155,15 +155,24 @@ def ranked(pairs: DataFrame, categories: list[tuple[str, str, int]]) -> DataFram
     return pairs.withColumn("rank", rank)
 
 
-def _windows(w: Column, length: int) -> Column:
-    """All runs of `length` words, joined; doubled from runs of half the length, so no run is cut out word by word."""
-    if length == 1:
-        return w
-    half = length // 2
-    runs = _windows(w, half)
-    n = F.size(w) - length + 1
-    joined = F.zip_with(F.slice(runs, F.lit(1), n), F.slice(runs, F.lit(half + 1), n), lambda x, y: F.concat_ws(" ", x, y))
-    return joined if length % 2 == 0 else F.zip_with(joined, F.slice(w, F.lit(length), n), lambda x, y: F.concat_ws(" ", x, y))
+def _windows(units: DataFrame, length: int) -> DataFrame:
+    """(id, at, p, q): a 128-bit hash of each run of `length` words of units(id, text) by its place, from 1. Hashes of runs
+    are made from those of two runs of half the length, a word more where that is odd, under one sort by place."""
+    order = Window.partitionBy("id").orderBy("at")
+    rows = units.select("id", words(F.col("text")).alias("w")).where(F.size("w") >= length).select("id", F.posexplode("w").alias("at", "word"))
+    rows = rows.select("id", F.col("at") + 1, F.xxhash64("word"), F.xxhash64(F.lit(1), "word")).toDF("id", "at", "one_p", "one_q")
+    rows, have = rows.withColumns({"p": F.col("one_p"), "q": F.col("one_q")}), 1
+
+    def joined(p: str, q: str) -> DataFrame:
+        ahead = rows.withColumns({"np": F.lead(p, have).over(order), "nq": F.lead(q, have).over(order)})
+        whole = F.col("np").isNotNull() & F.col("p").isNotNull()
+        return ahead.withColumns({"p": F.when(whole, F.xxhash64("p", "np")), "q": F.when(whole, F.xxhash64("nq", "q", F.lit(1)))})
+
+    for bit in f"{length:b}"[1:]:
+        rows, have = joined("p", "q"), 2 * have
+        if bit == "1":
+            rows, have = joined("one_p", "one_q"), have + 1
+    return rows.where("p is not null").select("id", "at", "p", "q")
 
 
 def token_runs(units: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
@@ -172,11 +181,9 @@ def token_runs(units: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
     Each window of `length` words is linked with its first occurrence, by unit and place; links that go on side by side
     are one run. Two units that share a run are so linked with a third or each other, without a row for every pair.
     """
-    rows = units.select("id", words(F.col("text")).alias("w")).where(F.size("w") >= length)
-    rows = rows.select("id", F.posexplode(_windows(F.col("w"), length)).alias("at", "window"))
-    rows = rows.select(F.sha2("window", 256).alias("window"), "id", (F.col("at") + 1).alias("at"))
-    first = rows.groupBy("window").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("k")).where("k > 1").select("window", "f")
-    meet = rows.join(first, "window").where((F.col("id") != F.col("f.id")) | (F.col("at") != F.col("f.at")))
+    rows = settled(_windows(units, length))
+    first = rows.groupBy("p", "q").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("k")).where("k > 1").select("p", "q", "f")
+    meet = rows.join(first, ["p", "q"]).where((F.col("id") != F.col("f.id")) | (F.col("at") != F.col("f.at")))
     meet = meet.select(F.col("f.id").alias("first"), "id", "at", (F.col("at") - F.col("f.at")).alias("d"))
     island = meet.withColumn("g", F.col("at") - F.row_number().over(Window.partitionBy("first", "id", "d").orderBy("at")))
     out = island.groupBy("first", "id", "d", "g").agg(F.min("at").alias("start"), (F.count("*") + length - 1).alias("tokens"))

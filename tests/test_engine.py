@@ -156,6 +156,9 @@ def test_runs_and_bindings(spark):
     rows = [(1, " ".join(w)), (2, "x " + " ".join(w[3:]) + " y"), (3, " ".join(w[:31])), (4, None)]
     got = [tuple(r) for r in clones.token_runs(spark.createDataFrame(rows, "id int, text string")).collect()]
     assert got == [(1, 4, 2, 2, 37)]
+    short = spark.createDataFrame([(1, "a b c d e f g"), (2, "c d e f g"), (3, "b c d"), (4, "g")], "id int, text string")
+    for length, want in ((1, {(1, 3, 2, 1, 5), (1, 2, 3, 1, 3), (1, 7, 4, 1, 1)}), (3, {(1, 3, 2, 1, 5), (1, 2, 3, 1, 3)}), (5, {(1, 3, 2, 1, 5)}), (6, set())):
+        assert {tuple(r) for r in clones.token_runs(short, length).collect()} == want
     pairs = spark.createDataFrame([(1, ["A", "B", "A"], ["X", "Y", "X"]), (2, ["A", "B"], ["X", "X"]), (3, ["A"], ["X", "Y"])], "k int, p array<string>, q array<string>")
     assert [r["k"] for r in clones.consistent(pairs, "p", "q").collect()] == [1]
     runs = spark.createDataFrame([(1, 1, 10), (1, 2, 5), (1, 5, 9), (2, 2, 5)], "g int, s int, n int")
