@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import program_metrics as M
 from graphloom.functions.layout import layout_expressions
 from graphloom.plans.lexer import QueryError
 from graphloom.sources.catalog import Catalog, Entity, Property, Selector
@@ -82,27 +83,101 @@ ENTITIES = {
 }
 
 
-def program_catalog(tables: dict[str, DataFrame], edges: DataFrame, snapshot: str = "") -> Catalog:
+#: Names of the metrics that call paths and expression trees give.
+_NAMES = {
+    "longest": "max_depth_of_calling max_depth_calling max_depth_of_call max_depth_call maxcalldepth", "shortest": "min_depth_of_calling min_depth_calling min_depth_of_call min_depth_call mincalldepth",
+    "paths": "number_of_funpath number_of_funpaths num_of_funpath num_of_funpaths funpathnum", "application": "max_application_depth max_app_depth maxappdepth",
+    "cases": "max_depth_of_cases max_depth_cases maxcasedepth", "structs": "max_depth_of_structs max_depth_structs max_depth_of_structures max_depth_structures maxstrdepth", "min_cases": "min_depth_of_cases min_depth_cases mincasedepth",
+    "in": "function_calls_in fun_calls_in callsin", "out": "function_calls_out fun_calls_out callsout", "within": "cohesion coh", "imported": "imported_modules imp_modules imported_mod imp_mod impmods",
+    "recursion": "branches_of_recursion branches_of_rec branch_of_recursion branch_of_rec recbranches", "funexpr": "number_of_funexpr num_of_funexpr funexprnum", "messages": "number_of_messpass num_of_messpass messpassnum",
+    "returns": "fun_return_points fun_return_point funretpoints function_return_points function_return_point", "mccabe": "mcCabe mccabe", "tail": "is_tail_recursive is_tail_rec",
+}
+#: Initial selectors by position, and the entity of each.
+POSITIONAL = {
+    "@function": "function", "@fun": "function", "@variable": "variable", "@var": "variable", "@macro": "macro", "@record": "record", "@rec": "record", "@recfield": "field", "@field": "field",
+    "@module": "file", "@mod": "file", "@expression": "expression", "@expr": "expression", "@clause": "clause", "@spec": "spec", "@type": "type",
+}
+
+
+def _metrics(name: str, tables: dict[str, DataFrame], edges: DataFrame) -> list[Property]:
+    """Properties of files, functions and clauses by call paths and expression trees; plans are made when one is named."""
+    expressions, functions = tables["expression"], tables["function"]
+    up = {"clause": (), "function": ("funcl",), "file": ("func", "funcl")}[name]
+
+    def of(key: str, rows, how=F.sum, kind: str = "int") -> Property:
+        return Property(tuple(_NAMES[key].split()), kind, pairs=rows if how is None else (lambda: _raise(rows(), how)), default=0 if kind == "int" else None)
+
+    def _raise(values: DataFrame, how) -> DataFrame:
+        for tag in reversed(up):
+            values = M.raised(values, M.links(edges, tag), how)
+        return values
+
+    def of_functions(column: str, how) -> DataFrame:
+        values = M.call_depths(edges).select("id", F.col(column).alias("value"))
+        return values if name == "function" else M.raised(values.where("value > 0"), M.links(edges, "func"), how)
+
+    deep = lambda k: lambda: M.nesting(edges, expressions).select("id", F.col(k).alias("value"))
+    out = [of("application", deep("application"), F.max), of("cases", deep("cases"), F.max), of("structs", deep("structs"), F.max), of("min_cases", deep("cases"), F.min)]
+    out += [of("funexpr", lambda: M.counted(M.inside(edges, expressions, "fun_expr"))), of("messages", lambda: M.counted(M.inside(edges, expressions, "send_expr")))]
+    # A clause has one return point and one path; each further branch of a decision inside adds a path.
+    clauses = lambda: M.links(edges, "funcl").select(F.col("dst").alias("id"), F.lit(1).alias("value"))
+    decisions = lambda: M.inside(edges, expressions, "case_expr", "if_expr", "receive_expr", "try_expr").toDF("src", "e").join(M.counted(M.links(edges, "exprcl")), F.col("e") == F.col("id")).select(F.col("src").alias("id"), (F.col("value") - 1).alias("value"))
+    out += [of("returns", clauses), of("mccabe", lambda: clauses().union(decisions()).groupBy("id").agg(F.sum("value").alias("value")))]
+    if name == "clause":
+        return out
+    if name == "function":
+        own = lambda: M.counted(M.links(edges, "funcall", "dyncall").where("src = dst"))
+        out += [of("longest", lambda: of_functions("longest", F.max), None), of("shortest", lambda: of_functions("shortest", F.min), None), of("recursion", own, None)]
+        return [*out, of("tail", lambda: M.tail_recursion(edges, functions, expressions), None, "atom")]
+    own = lambda: M.counted(M.module_crossings(edges)[2].join(M.links(edges, "funcall", "dyncall").where("src = dst").select("dst").distinct(), "dst", "left_semi").select("src", "dst"))
+    imported = lambda: M.counted(follow(edges, "funimp/^func"))
+    out += [of("longest", lambda: of_functions("longest", F.max), None), of("shortest", lambda: of_functions("shortest", F.min), None), of("paths", lambda: of_functions("paths", F.sum), None)]
+    out += [of(k, lambda i=i: M.counted(M.module_crossings(edges)[i]), None) for i, k in enumerate(("in", "out", "within"))]
+    return [*out, of("recursion", own, None), of("imported", imported, None)]
+
+
+def _positional(spans: DataFrame, kind: str):
+    """The narrowest span of the kind that holds the position; spans(file, entity, id, start, end), ends included."""
+
+    def rows(file: str | None = None, position: int | None = None) -> DataFrame:
+        if file is None or position is None:
+            raise QueryError("a selector by position needs a file and a position")
+        hit = spans.where((F.col("entity") == kind) & (F.col("file") == file) & F.lit(position).between(F.col("start"), F.col("end")))
+        return hit.orderBy(F.col("end") - F.col("start"), "id").limit(1).select("id")
+
+    return rows
+
+
+def program_catalog(tables: dict[str, DataFrame], edges: DataFrame, snapshot: str = "", spans: DataFrame | None = None) -> Catalog:
     """tables: per entity its nodes (id, and columns of ENTITIES); entities without a table have no nodes. edges has
-    (src_id, tag, idx, dst_id), ids unique over all entities. Missing columns are null properties."""
+    (src_id, tag, idx, dst_id), ids unique over all entities. Missing columns are null properties. With
+    spans(file, entity, id, start, end), queries may start where a position is: run(catalog, "@fun", file=, position=)."""
     spark = edges.sparkSession
     catalog = Catalog(spark, snapshot=snapshot)
-    for name, (starts, columns) in ENTITIES.items():
-        specs = [(c.split(":")[0].split(","), c.split(":")[1]) for c in columns.split()]
+    full = {}
+    for name, (_, columns) in ENTITIES.items():
         table = tables.get(name)
         if table is None:
             table = spark.createDataFrame([], "id bigint")
-        for names, kind in specs:
+        for names, kind in ((c.split(":")[0].split(","), c.split(":")[1]) for c in columns.split()):
             if names[0] not in table.columns:
                 table = table.withColumn(names[0], F.lit(None).cast({"int": "bigint", "bool": "boolean"}.get(kind, "string")))
-        if "text" not in table.columns:
-            table = table.withColumn("text", F.lit(None).cast("string"))
+        full[name] = table if "text" in table.columns else table.withColumn("text", F.lit(None).cast("string"))
+    for name, (starts, columns) in ENTITIES.items():
+        specs = [(c.split(":")[0].split(","), c.split(":")[1]) for c in columns.split()]
+        table = full[name]
         selectors = [Selector(tuple(n.split()), r, pairs=(lambda p=p: follow(edges, p))) for e, n, r, p in SELECTORS if e == name]
         properties = [Property(tuple(names), kind, names[0]) for names, kind in specs]
-        properties += [Property(tuple(n.split()), "int", pairs=(lambda p=p: follow(edges, p).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("value"))), default=0) for n, p in _COUNT.get(name, ())]
+        properties += [Property(tuple(n.split()), "int", pairs=(lambda p=p: M.counted(follow(edges, p))), default=0) for n, p in _COUNT.get(name, ())]
         if name in ("file", "function", "clause"):
-            properties += [Property(names, "int", e) for names, e in layout_expressions("text")]
+            properties += [Property(names, "int", e) for names, e in layout_expressions("text")] + _metrics(name, full, edges)
+        if name == "function":
+            properties.append(Property(("pure",), "bool", "not dirty"))
+        if name == "expression":
+            properties.append(Property(("is_tailcall", "tailcall"), "bool", "coalesce(is_last, false) and type = 'application'"))
         catalog.add(Entity(name, "id", (lambda t=table: t), tuple(starts.split()), selectors, properties))
-    if not catalog.initial():
-        raise QueryError("a catalog without starts")
+    if spans is not None:
+        catalog.starts |= {n: (kind, _positional(spans, kind)) for n, kind in POSITIONAL.items()}
+        named = lambda file=None, position=None: full["file"].where(F.col("path") == file).select("id")
+        catalog.starts["@file"] = ("file", named)
     return catalog
