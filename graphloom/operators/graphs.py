@@ -180,3 +180,54 @@ def module_calls(vertices: DataFrame, calls: DataFrame) -> DataFrame:
     a = vertices.select(F.col("id").alias("src"), F.col("module").alias("ms"))
     b = vertices.select(F.col("id").alias("dst"), F.col("module").alias("md"))
     return calls.join(a, "src").join(b, "dst").where("ms <> md").select(F.col("ms").alias("src"), F.col("md").alias("dst"), F.lit("modcall").alias("type"))
+
+
+def matching(vertices: DataFrame, pattern: str) -> DataFrame:
+    """vertices(module, name, arity, ...) whose parts fit `Module:Name/Arity` as whole strings; an empty part fits all."""
+    module, _, rest = pattern.rpartition(":")
+    name, _, arity = rest.rpartition("/") if "/" in rest else (rest, "", "")
+    for column, part in (("module", module), ("name", name), ("arity", arity)):
+        if part:
+            vertices = vertices.where(F.col(column).cast("string").rlike(f"^(?:{part})$"))
+    return vertices
+
+
+def node_of(vertices: DataFrame, label: str) -> DataFrame:
+    """The vertex (id, label, ...) of this label; an error if there is none."""
+    found = vertices.where(F.col("label") == label)
+    if found.isEmpty():
+        raise LookupError(f"no node {label}")
+    return found
+
+
+def connections(edges: DataFrame, chosen: DataFrame, most: int = 1) -> DataFrame:
+    """(src, dst, label): the chosen nodes(node) that paths of at most `most` edges join, each path as a label a->b->c."""
+    paths = simple_paths(edges, chosen, chosen, most)
+    return paths.select("src", "dst", F.array_join(F.transform("path", lambda x: x.cast("string")), "->").alias("label"))
+
+
+def indirect_connections(edges: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, arcs): all nodes on walks between chosen nodes(node), kind chosen or pnode; and arcs (src, dst, type) among
+    them, with an icallarc from each chosen node to each that it reaches only through others.
+
+    A node is on such a walk if a chosen one reaches it and it reaches a chosen one, so walks are never listed.
+    """
+    chosen = settled(chosen.select("node").distinct())
+    edges = settled(edges.select("src", "dst").distinct())
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    on = settled(reached(edges, chosen).join(reached(back, chosen), "node", "left_semi"))
+    nodes = on.join(chosen.withColumn("kind", F.lit("chosen")), "node", "left").select("node", F.coalesce("kind", F.lit("pnode")).alias("kind"))
+    arcs = edges.join(on, F.col("src") == F.col("node"), "left_semi").join(on, F.col("dst") == F.col("node"), "left_semi")
+    far = reachable(arcs, chosen).select(F.col("root").alias("src"), F.col("node").alias("dst")).where("src <> dst")
+    far = far.join(chosen, F.col("dst") == F.col("node"), "left_semi").join(edges, ["src", "dst"], "left_anti")
+    return nodes, arcs.select("src", "dst", F.lit("callarc").alias("type")).union(far.select("src", "dst", F.lit("icallarc")))
+
+
+def save_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
+    """Writes a graph's two tables below path."""
+    vertices.write.mode("overwrite").parquet(f"{path}/vertices")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def load_graph(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges")

@@ -388,3 +388,20 @@ def q_help(spark, sf_dir):
     from graphloom.functions.statistics import NAMES
 
     return spark.createDataFrame(sorted(NAMES.items()), "name string, kind string")
+
+
+@_register("q_skeleton", "SELECT DISTINCT c_name AS value FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 2500")
+def q_skeleton(spark, sf_dir):
+    from graphloom.plans.skeletons import Skeletons
+
+    kept = Skeletons()
+    kept.save("rich", "customers[segment == $segment$, acctbal > $least$].name")
+    return run(driver_catalog(spark, sf_dir), kept.query("rich(`'MACHINERY'`, `2500`)")).df.select("value").distinct()
+
+
+@_register("q_dep_indirect", f"""WITH RECURSIVE {_PARTNER}, {_REACH}, c AS (SELECT n_nationkey AS id FROM nation WHERE n_regionkey = 1)
+    SELECT n_nationkey AS node, CASE WHEN n_regionkey = 1 THEN 'chosen' ELSE 'pnode' END AS kind FROM nation
+    WHERE n_nationkey IN (SELECT node FROM reach JOIN c ON root = id) AND n_nationkey IN (SELECT root FROM reach JOIN c ON node = id)""")
+def q_dep_indirect(spark, sf_dir):
+    chosen = _t(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("node"))
+    return graphs.indirect_connections(_partner(spark, sf_dir), chosen)[0]

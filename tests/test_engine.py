@@ -178,3 +178,21 @@ def test_close_classes(spark):
         classes.setdefault(tuple(key), []).append(i)
     want = sorted((u[0], v[0]) for a, u in classes.items() for b, v in classes.items() if a[0] == b[0] and abs(a[1] - b[1]) <= 2 and a[2] == b[2] and (u[0] < v[0] or a == b and len(u) > 1))
     assert sorted((r["a"], r["b"]) for r in got.collect()) == want
+
+
+def test_selections_and_connections(spark, tmp_path):
+    v = spark.createDataFrame([(1, "m", "f", 1, "m:f/1"), (2, "m", "ff", 1, "m:ff/1"), (3, "n", "f", 2, "n:f/2")], "id int, module string, name string, arity int, label string")
+    ids = lambda p: {r["id"] for r in graphs.matching(v, p).collect()}
+    assert ids("m:f/1") == {1} and ids(":f/") == {1, 3} and ids("m:") == {1, 2} and ids("f+") == {1, 2, 3} and ids("[mn]:f/.") == {1, 3}
+    assert graphs.node_of(v, "m:ff/1").first()["id"] == 2
+    with pytest.raises(LookupError):
+        graphs.node_of(v, "none")
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 2), (4, 6), (1, 7)], "src int, dst int")
+    chosen = spark.createDataFrame([(1,), (4,)], "node int")
+    assert graphs.connections(e, chosen, 2).count() == 0
+    assert [tuple(r) for r in graphs.connections(e, chosen, 3).collect()] == [(1, 4, "1->2->3->4")]
+    nodes_, arcs = graphs.indirect_connections(e, chosen)
+    assert {tuple(r) for r in nodes_.collect()} == {(1, "chosen"), (2, "pnode"), (3, "pnode"), (4, "chosen")}
+    assert {tuple(r) for r in arcs.collect()} == {(1, 2, "callarc"), (2, 3, "callarc"), (3, 4, "callarc"), (1, 4, "icallarc")}
+    graphs.save_graph(v, e, str(tmp_path))
+    assert [d.count() for d in graphs.load_graph(spark, str(tmp_path))] == [3, 6]
