@@ -202,7 +202,10 @@ def _sorted_ranges(window: int):
             if pieces:
                 yield ranges(keys, docs, ats, pieces)
         finally:
+            docs = ats = pieces = columns = None  # noqa: F841
             gc.enable()  # the worker goes on to other tasks
+            gc.collect()
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -211,7 +214,7 @@ def _cut(window: int, as_text: bool):
     """Applies the ranges (second column) to the text (first); other columns stay, with n_bytes, n_removed, n_spans, kept."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, 250) for whole in batches for at in range(0, whole.num_rows, 250)):
             out = [[] for _ in range(4)]
             for text, ranges in zip(batch.column(0).cast(pa.binary()), batch.column(1)):
                 raw = bytes(text.as_buffer()) if text.is_valid else b""
