@@ -16,6 +16,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Words of a class, id or role that name what is beside the main text.
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus menu nav navbar navigation newsletter notice notices pager pagination popup promo promoted related reply replies respond share sharing sidebar side-bar skip social sponsor sponsored subscribe toolbar widget".split())
+#: What the ratios of lines in an article or main element count times, where that element holds all of the page's text.
+BOOST = 16
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 #: Elements that end at the start of another of their kind or, of those listed, of a block.
@@ -23,27 +25,30 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 
 
 class _Lines(HTMLParser):
-    """Streams parser events into lines, one per block: (text, tags met, in an article, depth-free order)."""
+    """Streams parser events into lines, one per block: (text, tags met, in an article, share of its characters that are links)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool]] = []
+        self.lines: list[tuple[str, int, bool, float]] = []
         self.stack: list[tuple[str, bool]] = []  # open elements, and whether each is dropped
         self.dropped = 0
         self.articles = 0
+        self.links = 0
         self.text: list[str] = []
         self.tags = 0
+        self.linked = 0  # characters of the line's links
 
     def end_line(self):
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text or self.tags:
-            self.lines.append((text, self.tags, self.articles > 0))
-        self.text, self.tags = [], 0
+            self.lines.append((text, self.tags, self.articles > 0, min(1.0, self.linked / max(len(text), 1))))
+        self.text, self.tags, self.linked = [], 0, 0
 
     def pop(self):
         tag, drops = self.stack.pop()
         self.dropped -= drops
         self.articles -= tag in ("article", "main")
+        self.links -= tag == "a"
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -71,6 +76,7 @@ class _Lines(HTMLParser):
         self.stack.append((tag, drops))
         self.dropped += drops
         self.articles += tag in ("article", "main")
+        self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCKS:
@@ -108,6 +114,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data):
         if not self.dropped:
             self.text.append(data)
+            if self.links:
+                self.linked += len(_SPACE.sub(" ", data).strip())
 
 
 def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
@@ -125,24 +133,25 @@ def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
-def regions(lines: list[tuple[str, int, bool]], sigma: float = 1.0) -> list[str]:
+def regions(lines: list[tuple[str, int, bool, float]], sigma: float = 1.0) -> list[str]:
     """The lines of content regions.
 
     A line's ratio is its characters over its tags (one at least). Ratios are smoothed; lines at or above the threshold,
     the standard deviation of the smoothed ratios but no more than half their mean, are content. They cluster in
-    regions: a stretch without two lines in a row below. The page's marked article or main element, where it has one
-    with text, is one region: all its lines belong, short or long, and none outside.
+    regions: a stretch without two lines in a row below. Article and main elements are a prior only: a line in one is
+    held against the threshold with its smoothed ratio times BOOST to the power of the share that these elements have
+    in the page's characters and of the share of the line that is no link. So short lines of a marked body stay, link
+    lists in it must pass by their ratio alone, and an element that only wraps a teaser says next to nothing.
     """
-    marked = [x for x in lines if x[2] and x[0]]
-    if marked:
-        return [x[0] for x in marked]
     lines = [x for x in lines if x[0]]
     if not lines:
         return []
-    ratio = smoothed([len(text) / max(tags, 1) for text, tags, _ in lines], sigma)
+    ratio = smoothed([len(text) / max(tags, 1) for text, tags, _, _ in lines], sigma)
     mean = sum(ratio) / len(ratio)
     deviation = math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
-    content = [r >= min(deviation, mean / 2) for r in ratio]
+    threshold = min(deviation, mean / 2)
+    share = sum(len(text) for text, _, marked, _ in lines if marked) / sum(len(text) for text, _, _, _ in lines)
+    content = [r * (BOOST ** (share * (1 - linked)) if marked else 1) >= threshold for r, (_, _, marked, linked) in zip(ratio, lines)]
     for i in range(1, len(content) - 1):
         if content[i - 1] and content[i + 1]:
             content[i] = True

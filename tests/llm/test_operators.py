@@ -192,3 +192,20 @@ def test_sketch_buckets_in_chunks(spark):
     for a, b in edges:
         root[find(a)] = find(b)
     assert len({find(i) for i in range(1, 60, 2)}) == 1
+
+
+def test_html_ratios():
+    body = [
+        "The council voted on Tuesday to rebuild the old bridge over the river, after two years of debate about its cost.", "Work starts in spring.",
+        "Engineers found last year that three of its seven piers had sunk by more than a hand, and closed it to lorries that week.",
+        "A temporary crossing downstream will carry buses, cyclists and people on foot until the new one opens, the mayor said.",
+    ]
+    text = "".join(f"<p>{p}</p>" for p in body)
+    links = "<ul>" + "".join(f"<li><a href='/{k}'>Link {k}</a></li>" for k in range(12)) + "</ul>"
+    far = {f"Link {k}" for k in range(3, 9)}  # smoothing reaches the links next to the body
+    teaser = "<article><h2><a href='/x'>More</a></h2><p><a href='/y'>Read on</a></p></article>"
+    for page in (f"<div>{links}</div><div>{text}</div><div>{links}</div>", f"{teaser}<div>{links}</div><section>{text}</section>{links}{teaser}", f"<main>{links}{text}{links}</main>"):
+        got = html_text.main_text(f"<html><body>{page}</body></html>").split("\n")
+        assert [x for x in got if x in body] == body
+        assert not far & set(got) and "Read on" not in got
+    assert html_text.main_text("<article><p>" + "Long words go on here. " * 20 + "</p>" + "<p>So it is.</p>" * 5 + "</article>").count("So it is.") == 5
