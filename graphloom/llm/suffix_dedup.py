@@ -280,19 +280,30 @@ def repeated_ranges(scratch: Scratch, docs: DataFrame, window: int = 100, gram:
     return copies.union(found)
 
 
+def _placed(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """rows(_doc, _text, ...) with the place of (id, text) among all in place of the id, which repeats or is null."""
+    rows = rows.withColumn("_own", F.sha2(F.coalesce("_text", F.lit("")), 256))
+    order = rows.select("_doc", "_own").distinct().orderBy(F.col("_doc").asc_nulls_last(), "_own")
+    order = scratch.keep(order.withColumn("_place", F.monotonically_increasing_id()), "places")
+    r, o = rows.alias("r"), order.alias("o")
+    both = r.join(o, F.col("r._doc").eqNullSafe(F.col("o._doc")) & (F.col("r._own") == F.col("o._own")))
+    return scratch.keep(both.select(F.col("_place").alias("_doc"), *(f"r.`{c}`" for c in rows.columns[1:-1])), "rows")
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 100, as_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """(the columns `carry`, n_bytes, n_removed, n_spans, kept) of each row of docs; carry is [key], named id, if not given.
 
     Removes each byte covered by a string of `window` bytes that also starts earlier: in a document of smaller id, or
     earlier in the same one. Overlaps count; strings are judged on the input. Null texts are empty. A null id is the
-    largest. Rows that repeat an id are places of one document: copies of a row are cut alike. kept is binary, or a
-    string without characters that a cut has split if as_text.
+    largest. Different texts of one id are documents of their own, in the order of a digest; rows of one id and one text
+    are one document and are cut alike. kept is binary, or a string without characters that a cut has split if as_text.
     """
     text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "suffix")
-    place = F.coalesce(F.col(key).cast("bigint"), F.lit((1 << 63) - 1)).alias("_doc")
-    rows = docs.select(place, F.col(text).cast("string").alias("_text"), *([F.col(key).alias("id")] if carry is None else carry))
+    rows = docs.select(F.col(key).cast("bigint").alias("_doc"), F.col(text).cast("string").alias("_text"), *([F.col(key).alias("id")] if carry is None else carry))
     named = rows.columns[2:]
+    if not rows.groupBy("_doc").agg(F.count("*").alias("n")).where("n > 1 or _doc is null").isEmpty():
+        rows = _placed(scratch, rows)
     ranges = repeated_ranges(scratch, rows.select(F.col("_doc").alias("doc"), F.col("_text").alias("text")), window)
     ranges = ranges.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("at").alias("_ranges"))
     rows = rows.join(ranges, "_doc", "left").select("_text", "_ranges", *named)

@@ -209,3 +209,18 @@ def test_html_ratios():
         assert [x for x in got if x in body] == body
         assert not far & set(got) and "Read on" not in got
     assert html_text.main_text("<article><p>" + "Long words go on here. " * 20 + "</p>" + "<p>So it is.</p>" * 5 + "</article>").count("So it is.") == 5
+
+
+def test_suffix_dedup_repeated_and_null_ids(spark):
+    rng = random.Random(6)
+    part = ["".join(rng.choice("abcdef ") for _ in range(160)) for _ in range(8)]
+    own = ["".join(rng.choice("abcdef ") for _ in range(n)) for n in (400, 130, 300, 500, 260, 90)]
+    rows = [(1, part[0] + own[0]), (2, own[1] + part[0] + part[1]), (2, part[1] + own[2]), (2, own[5]), (None, part[0] + own[3]), (None, own[4] + part[2]), (None, part[2]), (None, None), (3, "q" * 250), (3, part[3]), (3, part[3])]
+    digest = {t: hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows}
+    order = sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0, digest[x[1]]))
+    want = brute_repeats([(k, t) for k, (_, t) in enumerate(order)], 100)
+    want = {row: want[k] for k, row in enumerate(order)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [((r["doc_id"], r["text"]), bytes(r["kept"]), r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(df, carry=["doc_id", "text"]).collect()]
+    assert sorted((row for row, *_ in got), key=str) == sorted(rows, key=str)
+    assert all(kept == want[row] and n == len(row[1] or "") and gone == n - len(kept) for row, kept, n, gone in got)
