@@ -16,10 +16,16 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies, by SimHash of word 5-shingles, similar by 0.8 or more."""
-    groups = simhash.near_duplicates(docs, width=5, similarity=0.8)
-    spare = groups.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(spare, "doc_id", "left_anti").select(docs.columns)
+    """Keeps the document of smallest id of each group of near copies, by SimHash of word 5-shingles, similar by 0.8 or more.
+
+    Rows are told apart by their own numbers, in the order of ids (null last) and of texts' digests, so rows of one id or
+    of none stay unless their texts are near copies.
+    """
+    order = (F.col("doc_id").asc_nulls_last(), F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = Scratch(spark, "rows").keep(docs.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = simhash.near_duplicates(rows, key="_row", width=5, similarity=0.8)
+    spare = groups.where("id <> component").select(F.col("id").alias("_row"))
+    return rows.join(spare, "_row", "left_anti").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

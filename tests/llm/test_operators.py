@@ -224,3 +224,14 @@ def test_suffix_dedup_repeated_and_null_ids(spark):
     got = [((r["doc_id"], r["text"]), bytes(r["kept"]), r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(df, carry=["doc_id", "text"]).collect()]
     assert sorted((row for row, *_ in got), key=str) == sorted(rows, key=str)
     assert all(kept == want[row] and n == len(row[1] or "") and gone == n - len(kept) for row, kept, n, gone in got)
+
+
+def test_pipeline_near_copies_by_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(120)) for _ in range(9)]
+    rows = [(7, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[4]), (None, texts[0]), (8, texts[5]), (8, texts[5]), (9, texts[5]), (10, texts[6]), (None, texts[6] + " more")]
+    df = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()), key=str)
+    assert got == sorted([(7, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[4]), (8, texts[5]), (10, texts[6])], key=str)
