@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cache
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +64,7 @@ _APACHE = (
     "implied. See the License for the specific language governing permissions and limitations under the License."
 )
 
-#: Texts and notices of licences, as published.
+#: Short texts and notices of licences. The one-line notices are those that documents of the test tables hold.
 KNOWN = (
     ("MIT", "The MIT License (MIT)\n\n" + _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", _MIT),
     ("ISC", "ISC License\n\n" + _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_END),
@@ -74,6 +77,21 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
+_TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+@cache
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """(license, text) of the published full texts in license_texts, whole and without what follows the terms."""
+    out = []
+    for file in sorted((resources.files(__package__) / "license_texts").iterdir(), key=lambda f: f.name):
+        name, text = file.name.removesuffix(".txt"), file.read_text("utf-8")
+        out.append((name, text))
+        if _TERMS_END in text:
+            terms = text[: text.index(_TERMS_END)].rstrip()
+            out += [(name, terms), (name, f"{terms}\n\n{_TERMS_END}")]
+    return tuple(out)
+
 
 #: Lines that begin, after marks, with a copyright sign or word and hold a sign or a year; and those of reserved rights.
 COPYRIGHT_LINE = r"^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©)[^\n]*(?:\(c\)|©|\d{4})[^\n]*$"
@@ -122,10 +140,11 @@ def digest(text: Column) -> Column:
 
 def scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text") -> DataFrame:
     """docs with digest and license: the known licence (license, text) whose canonical text the whole document is, or
-    null. Of licences with one canonical text the smallest name counts; an empty canonical text matches none.
+    null. Of licences with one canonical text the smallest name counts; an empty canonical text matches none. Known are
+    KNOWN and full_texts() unless given.
     """
     if known is None:
-        known = docs.sparkSession.createDataFrame(list(KNOWN), "license string, text string")
+        known = docs.sparkSession.createDataFrame([*KNOWN, *full_texts()], "license string, text string")
     nothing = F.sha2(F.lit(""), 256)
     names = known.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license")).where(F.col("digest") != nothing)
     return docs.drop("digest", "license").withColumn("digest", digest(F.col(text))).join(names, "digest", "left")

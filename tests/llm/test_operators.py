@@ -235,3 +235,12 @@ def test_pipeline_near_copies_by_row(spark):
     df = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string").repartition(3)
     got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()), key=str)
     assert got == sorted([(7, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[4]), (8, texts[5]), (10, texts[6])], key=str)
+
+
+def test_full_license_texts(spark):
+    full = dict(reversed(licenses.full_texts()))
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(full)
+    rows = [(name, "  " + text.upper().replace("\n", "\r\n    ")) for name, text in full.items()]
+    rows += [("Apache-2.0", full["Apache-2.0"].split("APPENDIX:")[0]), (None, full["GPL-3.0"] + " and more"), (None, full["MPL-2.0"][:9000])]
+    got = licenses.scan(spark.createDataFrame(rows, "name string, text string")).collect()
+    assert len(got) == len(rows) and all(r["license"] == r["name"] for r in got)
