@@ -106,7 +106,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     A source's words are packed into blocks of `block` words; taken counts the words of the row that the mix's slots
     take, repeats included. Each source's taken words are its target, rounded; no row exceeds `cap` times its size
     (rounded targets aside). Null texts have size 0; a null source is a source; rows that repeat an id are rows of their
-    own. Sources and permutations depend on the rows alone, so reruns agree.
+    own. Sources and permutations depend on the rows alone, so reruns agree. Shards are not produced: the one that each
+    slot draws decides nothing here.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
