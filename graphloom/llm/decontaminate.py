@@ -118,8 +118,8 @@ def contamination(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", it
     """(doc_id, item_id, shared, size, containment) of each document and test item with containment of the item in the
     document at or above the limit, over distinct word shingles.
 
-    Items and documents without words (null, empty) match nothing; an item of fewer words than a shingle matches as a
-    whole. Rows that repeat an id are reported once. Documents stream past an index of the items, block by block, so
+    Items and documents without words (null, empty) match nothing; an item of fewer words than a shingle is found
+    only in a document that has the same words and no more, never inside a longer one. Rows that repeat an id are reported once. Documents stream past an index of the items, block by block, so
     neither side is shuffled.
     """
     text_batches(docs.sparkSession)
