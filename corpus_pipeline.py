@@ -53,7 +53,8 @@ STAGES = [
     ("mixing sources to target weights", mix_sources),
 ]
 
-#: The classifier, SimHash's XXH64 and repeats by bytes have no SQL; tests hold the stages against brute force.
+#: The classifier, SimHash's XXH64 and repeats by bytes have no SQL. Tests hold the operators and the SimHash stage to what
+#: they must give; no test runs all stages.
 ORACLE_SQL = None
 
 
