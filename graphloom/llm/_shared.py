@@ -95,7 +95,24 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[label[child]]
 
 
-def and_end(batches):
+def grouped_frames(batches, key: list[str]):
+    """Frames of whole groups, from batches sorted by key: what a batch leaves open waits for the next."""
+    rest = None
+    for frame in _and_end(batches):
+        last = frame is None
+        frame = rest if last else frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        if frame is None or not len(frame):
+            continue
+        values = frame[key].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]).any(axis=1)])
+        end = len(frame) if last else int(starts[-1])
+        rest = None if last else frame.iloc[end:]
+        starts = starts[starts < end]
+        if len(starts):
+            yield frame.iloc[:end], starts
+
+
+def _and_end(batches):
     """The batches, then None."""
     yield from batches
     yield None
@@ -139,3 +156,35 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         scratch.drop(large)
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def bucket_links(scratch: Scratch, rows: DataFrame, key: list[str], link, chunk: int) -> DataFrame:
+    """Edges (a, b) with the same components as all links within the buckets of rows(key, node, weight, ...).
+
+    link takes rows with ci, cj and side added and returns edges within each (key, ci, cj): of rows of side 0 with those
+    of side 2, and of side 1 with all. A bucket heavier than `chunk` is cut into chunks, each linked in itself first.
+    Then only rows outside the bucket's largest component so far are compared with the other chunks, so a large group
+    of copies, which hangs together by then, costs a row each and not all pairs of chunks.
+    """
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("n"), F.sum("weight").alias("w")).where("n > 1")
+    sizes = scratch.keep(sizes.select(*key, F.ceil(F.col("w") / chunk).cast("int").alias("chunks")), "buckets")
+    part = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    own = rows.join(sizes, key).withColumn("ci", part)
+    first = scratch.keep(link(own.drop("chunks").withColumns({"cj": F.col("ci"), "side": F.lit(1)})), "links")
+    large = sizes.where("chunks > 1")
+    if large.isEmpty():
+        return first
+    parts = connected_components(scratch, first).withColumnRenamed("node", "member")
+    placed = rows.join(large, key)
+    placed = placed.join(parts, placed["node"] == parts["member"], "left").withColumn("root", F.coalesce("component", "node")).drop("member", "component")
+    placed = scratch.keep(placed.withColumn("ci", part), "placed")
+    by_root = placed.groupBy(*key, "root").agg(F.sum("weight").alias("w"))
+    split = by_root.groupBy(*key).agg(F.max_by("root", F.struct("w", "root")).alias("main"), F.sum("w").alias("w"), F.max("w").alias("most"))
+    split = split.where("w > most").select(*key, "main", F.ceil((F.col("w") - F.col("most")) / chunk).cast("int").alias("others"))
+    placed = placed.join(split, key)
+    other = F.pmod(F.xxhash64("node", F.lit(1)), F.col("others")).cast("int")
+    left = placed.where("root <> main").withColumns({"cj": other, "side": F.lit(0)})
+    left = left.withColumn("ci", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    right = placed.withColumn("cj", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).withColumn("side", F.lit(2))
+    names = [*rows.columns, "ci", "cj", "side"]
+    return first.union(scratch.keep(link(left.select(names).union(right.select(names))), "links"))

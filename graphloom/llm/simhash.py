@@ -8,11 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import Scratch, and_end, connected_components, forest, text_batches
-from graphloom.llm.resemblance import link_sketches, lower, sketch
+from graphloom.llm._shared import Scratch, bucket_links, connected_components, forest, grouped_frames, text_batches
 
 BITS = 64
-#: Fingerprints of one bucket that a task compares at once. Larger buckets are cut into pairs of such chunks.
+#: Fingerprints of one bucket that a task compares at once.
 CHUNK = 4096
 
 
@@ -43,69 +42,51 @@ def shingle_hashes(text: bytes, width: int = 4):
         yield np.array([xxh64_intdigest(x, 42) for x in shingles], ">u8")
 
 
-def summary(text: bytes, width: int = 4, sketched: bool = False) -> tuple[int, bytes | None]:
-    """The 64-bit SimHash (0 without words) and, if asked for, the sketch of the shingles (None without words)."""
-    ones, total, least = np.zeros(BITS, np.int64), 0, None
+def simhash_of(text: bytes, width: int = 4) -> int:
+    """The 64-bit fingerprint; 0 without words."""
+    ones, total = np.zeros(BITS, np.int64), 0
     for hashes in shingle_hashes(text, width):
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
         total += len(hashes)
-        if sketched:
-            least = lower(hashes, least)
-    fp = int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
-    return fp, None if least is None else sketch(least)
+    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
 
 
-def _fingerprints(width: int, sketched: bool):
+def _fingerprints(width: int):
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            got = [summary(x.as_buffer().to_pybytes() if x.is_valid else b"", width, sketched) for x in texts]
-            columns = [batch.column(0), pa.array(np.array([fp for fp, _ in got], np.uint64).view(np.int64)), pa.array([x for _, x in got], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "sketch"])
+            got = [simhash_of(x.as_buffer().to_pybytes() if x.is_valid else b"", width) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], ["id", "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, sketched: bool = False) -> DataFrame:
-    """(id, fp, sketch) of every row; fp holds the 64 bits as a signed long, sketch is null unless asked for."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
+    """(id, fp) of every row; fp holds the 64 bits as a signed long."""
     text_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_fingerprints(width, sketched), "id bigint, fp bigint, sketch binary")
+    return rows.mapInArrow(_fingerprints(width), "id bigint, fp bigint")
 
 
 def _links(radius: int):
     """Consumes buckets, each in consecutive rows, and yields forests of their links."""
     most = np.uint8(radius)
 
-    def of_bucket(fp, rep, side):
+    def of_bucket(fp, side):
         a, b = [], []
-        left = np.flatnonzero(side < 2)
-        right = np.flatnonzero(side > 0)
+        left, right = np.flatnonzero(side < 2), np.flatnonzero(side > 0)
         for at in range(0, len(left), 256):
             rows = left[at : at + 256]
             i, j = np.nonzero(np.bitwise_count(fp[rows, None] ^ fp[None, right]) <= most)
-            x, y = forest(rep[rows[i]], rep[right[j]])
+            x, y = forest(fp[rows[i]].view(np.int64), fp[right[j]].view(np.int64))
             a.append(x)
             b.append(y)
-        return forest(np.concatenate(a), np.concatenate(b)) if a else (rep[:0], rep[:0])
+        return forest(np.concatenate(a), np.concatenate(b)) if a else (fp[:0].view(np.int64),) * 2
 
     def run(batches):
-        rest = None
-        for frame in and_end(batches):
-            last = frame is None
-            frame = rest if last else frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            if frame is None or not len(frame):
-                continue
-            key = frame[["mask", "part", "ci", "cj"]].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-            end = len(frame) if last else starts[-1]
-            rest = None if last else frame.iloc[end:]
-            starts = starts[starts < end]
-            if not len(starts):
-                continue
-            fp, rep, side = (frame[c].to_numpy()[:end] for c in ("fp", "rep", "side"))
-            fp = fp.view(np.uint64)
-            sizes = np.diff(np.r_[starts, end])
+        for frame, starts in grouped_frames(batches, ["mask", "part", "ci", "cj"]):
+            fp, side = frame["node"].to_numpy().view(np.uint64), frame["side"].to_numpy()
+            sizes = np.diff(np.r_[starts, len(fp)])
             group = np.repeat(np.arange(len(starts)), sizes)
             small = np.repeat(sizes <= 64, sizes)
             a, b = [], []
@@ -115,11 +96,11 @@ def _links(radius: int):
                     break
                 i = np.flatnonzero(near)
                 i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= most]
-                a.append(rep[i])
-                b.append(rep[i + d])
+                a.append(fp[i].view(np.int64))
+                b.append(fp[i + d].view(np.int64))
             for g in np.flatnonzero(sizes > 64):
                 at = slice(starts[g], starts[g] + sizes[g])
-                x, y = of_bucket(fp[at], rep[at], side[at])
+                x, y = of_bucket(fp[at], side[at])
                 a.append(x)
                 b.append(y)
             if a:
@@ -130,50 +111,37 @@ def _links(radius: int):
     return run
 
 
-def link_fingerprints(reps: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) that join the same rows of reps(fp, rep), fp distinct, as all pairs within `radius` bits do.
+def link_fingerprints(scratch: Scratch, fps: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
+    """Edges (a, b) that join the fingerprints of fps(fp), which are distinct, as all pairs within `radius` bits do.
 
     Covering hashing: one row per fingerprint and mask, keyed by the masked bits; every pair within the radius meets
-    under some mask, so nothing is missed. A bucket above `chunk` rows is dealt out as pairs of chunks, so none gathers
-    in one task. Only a spanning forest of the links leaves a task.
+    under some mask, so nothing is missed. Buckets above `chunk` rows are cut. Only a spanning forest of the links
+    leaves a task.
     """
     masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in covering_masks(radius)])
-    rows = reps.select("fp", "rep", F.posexplode(masks).alias("mask", "bits"))
-    rows = rows.select("fp", "rep", "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("part"))
-    sizes = rows.groupBy("mask", "part").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = sizes.select("mask", "part", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    rows = rows.join(sizes, ["mask", "part"]).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    # The chunk c meets each chunk x as the pair (min, max); side says which of the two chunks a row is in, 1 both.
-    rows = rows.select("mask", "part", "fp", "rep", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("x"))
-    rows = rows.select(
-        "mask", "part", F.least("c", "x").alias("ci"), F.greatest("c", "x").alias("cj"),
-        F.when(F.col("c") == F.col("x"), 1).when(F.col("c") < F.col("x"), 0).otherwise(2).alias("side"), "fp", "rep",
-    )
-    rows = rows.repartition("mask", "part", "ci", "cj").sortWithinPartitions("mask", "part", "ci", "cj")
-    return rows.mapInPandas(_links(radius), "a bigint, b bigint")
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, similarity: float | None = None) -> DataFrame:
-    """One row per row of docs: id, fp, component (smallest id reachable over links of at most `radius` bits).
+    rows = fps.select(F.col("fp").alias("node"), F.posexplode(masks).alias("mask", "bits"))
+    rows = rows.select("mask", F.col("node").bitwiseAND(F.col("bits")).alias("part"), "node", F.lit(1).alias("weight"))
+
+    def link(dealt: DataFrame) -> DataFrame:
+        by = ["mask", "part", "ci", "cj"]
+        return dealt.select(*by, "side", "node").repartition(*by).sortWithinPartitions(*by).mapInPandas(_links(radius), "a bigint, b bigint")
+
+    return bucket_links(scratch, rows, ["mask", "part"], link, chunk)
 
-    With `similarity`, texts whose sets of shingles are that similar are linked too, by sketches: at 0.8 they differ in 8
-    bits and more, and tables that cover such a radius would be too many.
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """One row per row of docs: id, fp, component (smallest id reachable over links of at most `radius` bits).
 
     Null and empty texts have the fingerprint 0 and link like any other. Rows that repeat an id each get a row. Rows
-    with a null id are left out of links and have a null component unless another row has their fingerprint.
+    with a null id link too; their component is null if no row that they reach has an id. Very long texts are hashed in
+    parts. Other columns of docs don't matter.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
-    fps = scratch.keep(fingerprints(docs, key, text, width, similarity is not None), "fingerprints")
-    reps = scratch.keep(fps.groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
-    edges = link_fingerprints(reps.where("rep is not null"), radius)
-    if similarity is not None:
-        edges = scratch.keep(edges, "links")
-        scratch.release_shuffles()
-        sketches = fps.where("sketch is not null").select("fp", "sketch").distinct()
-        sketches = scratch.keep(sketches.join(reps.where("rep is not null"), "fp").select("sketch", "rep"), "sketches")
-        edges = edges.union(scratch.keep(link_sketches(sketches, similarity), "similar"))
-    parts = connected_components(scratch, edges)
-    classes = reps.join(parts, reps["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows = scratch.keep(fingerprints(docs, key, text, width), "fingerprints")
+    fps = scratch.keep(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    parts = connected_components(scratch, link_fingerprints(scratch, fps.select("fp"), radius))
+    classes = fps.join(parts, fps["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    smallest = classes.groupBy("root").agg(F.min("least").alias("component"))
+    classes = classes.join(smallest, "root").select("fp", "component")
     scratch.release_shuffles()
-    return fps.join(classes, "fp", "left").select("id", "fp", "component")
+    return rows.join(classes, "fp", "left").select("id", "fp", "component")

@@ -2,10 +2,11 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 
-from graphloom.llm import chat, decontaminate, embedding_dedup, html_text, licenses, mixing, quality, simhash, suffix_dedup, urls
+from graphloom.llm import chat, decontaminate, embedding_dedup, html_text, licenses, mixing, quality, resemblance, simhash, suffix_dedup, urls
 from graphloom.llm.suffix_sort import suffix_order
 
 DOCS = "doc_id long, text string, source string, at string, component string"
@@ -42,20 +43,12 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_simhash(spark):
+def test_covering_masks(spark):
     masks = simhash.covering_masks(4)
     rng = random.Random(1)
     for _ in range(300):
         bits = rng.sample(range(64), 4)
         assert any(not any(m >> b & 1 for b in bits) for m in masks)
-    base = " ".join(f"w{i}" for i in range(300))
-    rows = [(1, base), (2, base), (3, base + " x"), (4, None), (5, ""), (6, "a b"), (6, "a b"), (7, "q r s t u v w x y z")]
-    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    fps = [(r["id"], r["fp"] & (1 << 64) - 1, r["component"]) for r in got]
-    assert len(fps) == len(rows)
-    for a, fa, ca in fps:
-        near = {b for b, fb, _ in fps if (fa ^ fb).bit_count() <= 4}
-        assert ca <= min(near) and (ca == a or len(near) > 1)
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -141,57 +134,95 @@ def test_licenses(spark):
     assert hashlib.sha256(b"").hexdigest()
 
 
-def test_simhash_similar_shingles(spark):
+def classes_of(edges, nodes):
+    """Each node's smallest node reachable."""
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+def brute_fingerprint(text, width):
+    from xxhash import xxh64_intdigest
+
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    grams = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    h = [xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << k for k in range(64) if sum(x >> k & 1 for x in h) * 2 > len(h))
+
+
+def test_simhash_query_against_brute_force(spark, tmp_path):
+    from graphloom.llm import queries
+
+    rng = random.Random(11)
+    vocabulary = [f"W{i}é" for i in range(400)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.randrange(1, 400))] for _ in range(30)]
+    texts = [" ".join(w) for w in base] + ["\t".join(w).upper() for w in base[:10]] + [" ".join([*w[:-2], "zz"]) for w in base] + [None, "", " \n", "one two", "Ü b\u00a0c d\u2003e f"]
+    rows = [(100 - i, t, "x", "y") for i, t in enumerate(texts)] + [(7, texts[0], None, ""), (None, texts[1], "", ""), (None, "alone with no id", "", "")]
+    schema = "doc_id long, text string, fp string, component string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in queries.op10_simhash_near_dedup(spark, str(tmp_path)).collect()]
+    want = [(i, brute_fingerprint(t, 4)) for i, t, _, _ in rows]
+    n = range(len(want))
+    root = classes_of([(a, b) for a in n for b in range(a) if (want[a][1] ^ want[b][1]).bit_count() <= 4], n)
+    ids = {r: min((want[k][0] for k in n if root[k] == r and want[k][0] is not None), default=None) for r in set(root.values())}
+    assert sorted(got, key=str) == sorted(((*want[k], ids[root[k]]) for k in n), key=str)
+
+
+def test_simhash_buckets_in_chunks(spark):
+    from graphloom.llm._shared import Scratch, connected_components
+
+    rng = random.Random(5)
+    hubs = [rng.getrandbits(64) for _ in range(4)]
+    fps = {h ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))) for h in hubs for _ in range(40)} | {rng.getrandbits(64) & 0xFFFF0000FFFF0000 for _ in range(40)}
+    fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    scratch = Scratch(spark, "test")
+    edges = simhash.link_fingerprints(scratch, spark.createDataFrame([(f,) for f in fps], "fp long"), chunk=5)
+    got = {f: f for f in fps} | {r["node"]: r["component"] for r in connected_components(scratch, edges).collect()}
+    assert got == classes_of([(a, b) for a in fps for b in fps if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4], fps)
+
+
+def test_similar_rows(spark, monkeypatch):
     rng = random.Random(4)
-    rows = []
+    texts = []
     for k in range(30):
         base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(150, 400))]
-        rows.append((10 * k, " ".join(base)))
+        texts.append((10 * k, " ".join(base)))
         for c in range(1, 4):
             words = list(base)
             for _ in range(c * c):
                 words[rng.randrange(len(words))] = f"x{rng.randrange(5000)}"
-            rows.append((10 * k + c, " ".join(words)))
-    rows += [(900, None), (901, ""), (902, "a b"), (903, "a b"), (None, "a b c d e f")]
-    df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, component string")
-    got = {r["id"]: r["component"] for r in simhash.near_duplicates(df, width=5, similarity=0.8).collect()}
-    sets = {}
-    for i, t in rows[:-5]:
-        w = t.split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-    for a in sets:
-        for b in sets:
-            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-            assert got[a] == got[b] or j < 0.85, (a, b, j)
-            assert got[a] != got[b] or a // 10 == b // 10
-    assert got[900] == got[901] == 900 and got[902] == got[903] == 902 and got[None] is None
-    assert simhash.near_duplicates(df.limit(0), width=5, similarity=0.8).count() == 0
-
-
-def test_sketch_buckets_in_chunks(spark):
-    from graphloom.llm import resemblance
-
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 256, resemblance.VALUES, np.uint8)
-    rows = []
+            texts.append((10 * k + c, " ".join(words)))
+    # A large group of near copies, in which not all pairs are similar, and texts that share its frequent words.
+    common = [f"c{i}" for i in range(200)]
     for i in range(60):
-        own = base.copy() if i % 2 else rng.integers(0, 256, resemblance.VALUES, np.uint8)
-        own[:5] = base[:5]
-        own[5 + i] ^= 1
-        rows.append((bytearray(own.tobytes()), i))
-    df = spark.createDataFrame(rows, "sketch binary, rep long")
-    edges = [(r["a"], r["b"]) for r in resemblance.link_sketches(df, 0.8, chunk=7).collect()]
-    assert {x for e in edges for x in e} == set(range(1, 60, 2))
-    root = {i: i for i in range(60)}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in edges:
-        root[find(a)] = find(b)
-    assert len({find(i) for i in range(1, 60, 2)}) == 1
+        words = list(common)
+        words[i * 3] = f"y{i}"
+        texts.append((1000 + i, " ".join(words)))
+        texts.append((2000 + i, " ".join(common[:60] + [f"z{i}-{j}" for j in range(100)])))
+    texts += [(900, None), (901, ""), (902, "a b"), (903, "A  b"), (904, "a b c d e f"), (905, "q " * 3000)]
+    df = spark.createDataFrame([(i, t, "c") for i, t in texts], "row long, text string, component string").repartition(5)
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = {i: shingles(t) for i, t in texts}
+    ids = sorted(sets)
+    edges = [(a, b) for a in ids for b in ids if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)]
+    want = classes_of(edges, ids)
+    for chunk in (resemblance.CHUNK, 2000):  # whole buckets, and many chunks
+        monkeypatch.setattr(resemblance, "CHUNK", chunk)
+        assert {r["row"]: r["component"] for r in resemblance.similar_rows(df, "row").collect()} == want
+    assert resemblance.similar_rows(df.limit(0), "row").count() == 0
 
 
 def test_html_ratios():
