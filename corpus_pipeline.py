@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, mixing, quality, simhash, suffix_dedup
+from graphloom.llm import decontaminate, mixing, quality, resemblance, suffix_dedup
 from graphloom.llm._shared import Scratch
 
 
@@ -16,16 +16,24 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies, by SimHash of word 5-shingles, similar by 0.8 or more.
+    """Keeps one document of each group of near copies: sets of word 5-shingles, similar by 0.8 or more, found by SimHash
+    tables and MinHash bands and verified whole.
 
-    Rows are told apart by their own numbers, in the order of ids (null last) and of texts' digests, so rows of one id or
-    of none stay unless their texts are near copies.
+    Rows are told apart by numbers of their own, so rows of one id or of none stay unless their texts are near copies.
+    The first by id (null last), then by the text's digest stays.
     """
-    order = (F.col("doc_id").asc_nulls_last(), F.sha2(F.coalesce("text", F.lit("")), 256))
-    rows = Scratch(spark, "rows").keep(docs.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = simhash.near_duplicates(rows, key="_row", width=5, similarity=0.8)
-    spare = groups.where("id <> component").select(F.col("id").alias("_row"))
-    return rows.join(spare, "_row", "left_anti").select(docs.columns)
+    scratch = Scratch(spark, "rows")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"))
+    rows = scratch.keep(rows, "numbered")
+    groups = scratch.keep(resemblance.similar_rows(rows.select("row", "doc.text"), "row", width=5, similarity=0.8), "groups")
+    large = groups.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    members = groups.join(large, "component")
+    order = F.struct(F.col("doc.doc_id").isNull(), "doc.doc_id", F.sha2(F.coalesce("doc.text", F.lit("")), 256), "row")
+    members = members.join(rows.select("row", order.alias("place")), "row")
+    members = scratch.keep(members, "members")
+    first = members.groupBy("component").agg(F.min("place").alias("first"))
+    spare = members.join(first, "component").where("place > first").select("row")
+    return rows.join(spare, "row", "left_anti").select("doc.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
