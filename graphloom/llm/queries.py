@@ -93,14 +93,13 @@ QUERIES = {
 }
 
 _EMBEDDING_SQL = """
-WITH RECURSIVE one AS (SELECT vec_id, min(embedding) AS e FROM embeddings GROUP BY vec_id),
-v AS (SELECT vec_id, e::DOUBLE[] AS e FROM one WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(e, lambda x: x <> 0)) > 0),
-l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
-r AS (SELECT vec_id AS a, vec_id AS b FROM one UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
-c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
-SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
-FROM one JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id"""
+WITH RECURSIVE one AS (SELECT row_number() OVER () AS k, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+v AS (SELECT * FROM one WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.k AS a, b.k AS b FROM v a JOIN v b ON a.k <> b.k AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT k AS a, k AS b FROM one UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a, min(o.vec_id) AS component_id FROM r JOIN one o ON o.k = r.b GROUP BY r.a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM one JOIN c ON c.a = one.k LEFT JOIN n ON n.a = one.k"""
 
 
 def _shingles_sql(table: str, key: str) -> str:

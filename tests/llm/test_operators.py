@@ -12,6 +12,21 @@ from graphloom.llm.suffix_sort import suffix_order
 DOCS = "doc_id long, text string, source string, at string, component string"
 
 
+def classes_of(edges, nodes):
+    """Each node's smallest node reachable."""
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
 def test_suffix_order():
     rng = random.Random(5)
     for _ in range(300):
@@ -52,16 +67,55 @@ def test_covering_masks(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_embeddings(spark):
+def brute_links(rows, threshold=0.9):
+    """(id, links, component, kept) of each row."""
+    unit = []
+    for _, v in rows:
+        x = np.array([np.nan if c is None else c for c in v or []], float)
+        ok = len(x) and np.isfinite(x).all() and x.any()
+        unit.append(x / np.abs(x).max() / np.linalg.norm(x / np.abs(x).max()) if ok else None)
+    n = range(len(rows))
+    edges = [(a, b) for a in n for b in n if a != b and unit[a] is not None and unit[b] is not None and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= threshold]
+    root = classes_of(edges, n)
+    least = {r: min((rows[k][0] for k in n if root[k] == r and rows[k][0] is not None), default=None) for r in set(root.values())}
+    links = [0] * len(rows)
+    for a, _ in edges:
+        links[a] += 1
+    return [(rows[k][0], links[k], least[root[k]], rows[k][0] == least[root[k]]) for k in n]
+
+
+def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = np.repeat(rng.normal(size=(20, 8)), 5, 0) + rng.normal(size=(100, 8)) * 0.15
     x[7] = x[3]
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(200, None), (201, [0.0] * 8), (202, [float("nan")] * 8), (203, [1.0, None]), (204, [])]
-    got = {r["id"]: r for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    links = (u @ u.T >= 0.9).sum(1) - 1
-    assert [got[i]["n_links"] for i in range(100)] == links.tolist()
-    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(200, 205))
+    # Repeated ids, null ids, huge and tiny values, another length, a cosine of 0.9 itself.
+    rows += [(3, rows[40][1]), (3, rows[41][1]), (None, rows[60][1]), (None, [1.0, 2.0]), (None, None), (205, [1e300, 1e300]), (206, [1e-300, 1e-300]), (207, [1.0, 1.0])]
+    rows += [(300, [3.0, 4.0, 0.0]), (301, [3.0, 4.0, 0.0]), (302, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "x", 0) for i, v in rows], "vec_id long, embedding array<double>, unit string, node int").repartition(3)
+    want = sorted(brute_links(rows), key=str)
+    for size in (embedding_dedup.INTERVAL, 16):
+        monkeypatch.setattr(embedding_dedup, "INTERVAL", size)
+        monkeypatch.setattr(embedding_dedup, "LEAF", min(size // 2, 256))
+        monkeypatch.setattr(embedding_dedup, "STRETCH", 2)
+        assert sorted(map(tuple, embedding_dedup.near_duplicate_vectors(df).collect()), key=str) == want
+    assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+def test_embedding_blocks_apart_are_skipped(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(16, 12))
+    x = np.repeat(centres, 200, 0) + rng.normal(size=(3200, 12)) * 0.05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x @ np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :8]
+    order = np.lexsort(np.floor(y / 0.4472).T[::-1])
+    boxes = [(k, *y[p].min(0).tolist(), *y[p].max(0).tolist()) for k, p in enumerate(np.array_split(order, 50))]
+    names = [f"y{k}" for k in range(8)]
+    df = spark.createDataFrame(boxes, ["interval", *(f"lo_{n}" for n in names), *(f"hi_{n}" for n in names)])
+    got = {(r["i"], r["j"]) for r in embedding_dedup.near_pairs(df, names, 0.4472136, stretch=7).collect()}
+    gap = lambda a, b: sum(max(0, a[1 + k] - b[9 + k], b[1 + k] - a[9 + k]) ** 2 for k in range(8))
+    assert got == {(a[0], b[0]) for a in boxes for b in boxes if a[0] <= b[0] and gap(a, b) <= (0.4472136 + 1e-9) ** 2}
+    assert len(got) < 50 * 51 // 2 / 4
 
 
 def test_decontamination(spark):
@@ -134,21 +188,6 @@ def test_licenses(spark):
     assert hashlib.sha256(b"").hexdigest()
 
 
-def classes_of(edges, nodes):
-    """Each node's smallest node reachable."""
-    root = {n: n for n in nodes}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in edges:
-        x, y = find(a), find(b)
-        root[max(x, y)] = min(x, y)
-    return {n: find(n) for n in nodes}
-
-
 def brute_fingerprint(text, width):
     from xxhash import xxh64_intdigest
 
