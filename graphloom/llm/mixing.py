@@ -13,6 +13,8 @@ BLOCK, SHARD, STRETCH = 64, 4096, 10_000
 WEIGHTS, CAP = (5, 2, 1), 3
 #: Slots that one row unfolds to, so that a large source's slots come from many rows.
 RUN = 1 << 16
+#: Tasks that runs unfold in, at most.
+TASKS = 10_000
 #: Primes, of which one that doesn't divide the number of blocks is a source's multiplier.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
 
@@ -70,13 +72,15 @@ def packed(rows: DataFrame, stretches: int) -> DataFrame:
 
 
 def slots(sources: DataFrame, words: int, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """(shard, source, block, words): the blocks that the output takes, from sources(source, source_size, target).
+    """(shard, place, source, block, words, length): the output's slots, from sources(source, source_size, target).
 
-    Each slot draws its output shard, so a shard's counts by source are multinomial, conditioned on the sources' totals:
-    those are the targets and not merely near them. The j-th slot of a source takes the block at place j of its pass: the
-    full blocks in the order of the source's pseudorandom permutation x -> (a x + b) mod full, a prime, then the short
-    last block. Every pass takes each block once; the last slot takes only the words that the target still lacks.
+    Each slot of a source draws its output shard, so the source's counts over shards are multinomial, and a shard's counts
+    by source are, conditioned on the sources' totals: those are the targets and not merely near them. place orders the
+    slots of a shard, drawn too. The j-th slot of a source takes the block at place j of its pass: the full blocks in the
+    order of the source's pseudorandom permutation x -> (a x + b) mod full, a prime, then the short last block. Every pass
+    takes each block once; the last slot takes only the words that the target still lacks.
     """
+    runs = int(words // (block * RUN)) + 1
     s = sources.where("source_size > 0 and target > 0").withColumn("due", F.round("target").cast("bigint"))
     s = s.withColumn("full", F.floor(F.col("source_size") / block).cast("bigint"))
     s = s.withColumn("tail", F.col("source_size") - F.col("full") * block)
@@ -88,7 +92,7 @@ def slots(sources: DataFrame, words: int, block: int = BLOCK, shard: int = SHARD
     primes = F.filter(F.array(*[F.lit(p) for p in PRIMES]).cast("array<bigint>"), lambda p: F.greatest("full", F.lit(1)) % p != 0)
     s = s.withColumn("a", F.element_at(primes, (own % F.size(primes) + 1).cast("int"))).withColumn("b", own)
     s = s.withColumn("r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("total") - 1) / RUN).cast("bigint"))))
-    s = s.repartition("source", "r")
+    s = s.repartition(max(1, min(runs, TASKS)), "source", "r")
     s = s.withColumn("j", F.explode(F.sequence(F.col("r") * RUN, F.least(F.col("total"), (F.col("r") + 1) * RUN) - 1)))
     p = F.col("j") % F.col("blocks")
     x = F.col("a").cast("decimal(10,0)") * p.cast("decimal(19,0)") + F.col("b").cast("decimal(19,0)")  # may pass 2^63
@@ -97,41 +101,61 @@ def slots(sources: DataFrame, words: int, block: int = BLOCK, shard: int = SHARD
     whole = F.col("j") < F.col("passes") * F.col("blocks")
     taken = F.when(whole, length).otherwise(F.least(length, F.col("rest") - F.col("p") * block)).cast("bigint")
     shards = max(1, -(-words // (block * shard)))
-    return s.select((draw(F.col("source"), F.col("j")) % F.lit(shards)).alias("shard"), "source", "block", taken.alias("words"), length.cast("bigint").alias("length"))
+    drawn = draw(F.col("source"), F.col("j"))
+    place = F.floor(drawn / shards).cast("bigint").alias("place")
+    return s.select((drawn % F.lit(shards)).alias("shard"), place, "source", "block", taken.alias("words"), length.cast("bigint").alias("length"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, shard: int = SHARD, stretch: int = STRETCH) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every row.
+class Mix:
+    """A mix of documents: its blocks, and what it takes of each document.
 
-    A source's words are packed into blocks of `block` words; taken counts the words of the row that the mix's slots
-    take, repeats included. Each source's taken words are its target, rounded; no row exceeds `cap` times its size
-    (rounded targets aside). Null texts have size 0; a null source is a source; rows that repeat an id are rows of their
-    own. Sources and permutations depend on the rows alone, so reruns agree. Shards are not produced: the one that each
-    slot draws decides nothing here.
+    A source's words are packed into blocks of `block` words. Null texts have size 0; a null source is a source; rows
+    that repeat an id are rows of their own, in the order of id and size (of equal ones any first). Sources, draws and
+    permutations depend on the rows alone, so reruns agree. One huge document is cut over many blocks, one source over
+    many stretches, so neither gathers in one task.
     """
-    scratch = Scratch(docs.sparkSession, "mix")
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
-    rows = scratch.keep(rows, "sizes")
-    count, words = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    sources = scratch.keep(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
-    placed = scratch.keep(packed(rows, max(1, count // stretch)), "packed")
-    drawn = slots(sources, words, block, shard)
-    trimmed = F.max(F.when(F.col("words") < F.col("length"), F.col("words")))
-    used = drawn.groupBy("source", "block").agg(F.count(F.when(F.col("words") == F.col("length"), 1)).alias("times"), F.coalesce(trimmed, F.lit(0)).alias("prefix"))
-    last = F.floor((F.col("begin") + F.col("size") - 1) / block)
-    parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / block), last)))
-    start = F.greatest(F.col("begin") - F.col("block") * block, F.lit(0))
-    end = F.least(F.col("begin") + F.col("size") - F.col("block") * block, F.lit(block))
-    parts = parts.select("source", "stretch", "row", "block", start.alias("start"), end.alias("end"))
-    # Both sides grow with the documents, which the size of the few sources that slots unfold from does not show.
-    p, u = parts.alias("p"), used.hint("merge").alias("u")
-    both = p.join(u, F.col("p.source").eqNullSafe(F.col("u.source")) & (F.col("p.block") == F.col("u.block")))
-    got = F.col("times") * (F.col("end") - F.col("start")) + F.greatest(F.least("end", "prefix") - F.col("start"), F.lit(0))
-    taken = both.groupBy("p.source", "p.stretch", "p.row").agg(F.sum(got).alias("taken"))
-    d, t, s = placed.alias("d"), taken.hint("merge").alias("t"), sources.alias("s")
-    here = F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.stretch") == F.col("t.stretch")) & (F.col("d.row") == F.col("t.row"))
-    out = d.join(t, here, "left").join(s, F.col("d.source").eqNullSafe(F.col("s.source")))
-    return out.select("doc_id", "d.source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+
+    def __init__(self, docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, shard: int = SHARD, stretch: int = STRETCH):
+        self.block, scratch = block, Scratch(docs.sparkSession, "mix")
+        rows = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
+        rows = scratch.keep(rows, "sizes")
+        count, words = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        self.sources = scratch.keep(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
+        self.placed = scratch.keep(packed(rows, max(1, count // stretch)), "packed")
+        self.slots = slots(self.sources, words, block, shard)
+
+    def blocks(self) -> DataFrame:
+        """(shard, place, source, block, doc_id, stretch, row, first, words): the mix itself. Shards hold their slots in
+        the order of place; a slot holds the pieces of its block by (stretch, row), each `words` words of a document from
+        its word `first` on, counted from 0."""
+        block = self.block
+        last = F.floor((F.col("begin") + F.col("size") - 1) / block)
+        parts = self.placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / block), last)))
+        start = F.greatest(F.col("begin") - F.col("block") * block, F.lit(0))
+        end = F.least(F.col("begin") + F.col("size") - F.col("block") * block, F.lit(block))
+        first = F.greatest(F.col("block") * block - F.col("begin"), F.lit(0))
+        parts = parts.select("doc_id", "source", "stretch", "row", "block", first.alias("first"), start.alias("start"), end.alias("end"))
+        # Both sides grow with the documents, which the size of the few sources that slots unfold from does not show.
+        p, s = parts.alias("p"), self.slots.hint("merge").alias("s")
+        both = p.join(s, F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.block") == F.col("s.block")))
+        both = both.withColumn("held", F.least("end", "words") - F.col("start")).where("held > 0")
+        return both.select("shard", "place", "p.source", "p.block", "doc_id", "stretch", "row", F.col("first").cast("bigint").alias("first"), F.col("held").cast("bigint").alias("words"))
+
+    def taken(self) -> DataFrame:
+        """(doc_id, source, size, source_size, target, taken) of every row; taken sums the words of the mix's blocks.
+
+        Each source's taken words are its target, rounded; no row exceeds `cap` times its size (rounded targets aside).
+        """
+        taken = self.blocks().groupBy("source", "stretch", "row").agg(F.sum("words").alias("taken"))
+        d, t, s = self.placed.alias("d"), taken.hint("merge").alias("t"), self.sources.alias("s")
+        here = F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.stretch") == F.col("t.stretch")) & (F.col("d.row") == F.col("t.row"))
+        out = d.join(t, here, "left").join(s, F.col("d.source").eqNullSafe(F.col("s.source")))
+        return out.select("doc_id", "d.source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """What a mix takes of each document: Mix(docs).taken()."""
+    return Mix(docs, **options).taken()
 
 
 MIX_SQL = """

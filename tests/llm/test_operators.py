@@ -181,6 +181,45 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixed_blocks(spark):
+    rng = random.Random(14)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), " ".join(f"{i}-{k}" for k in range(rng.randrange(120)))) for i in range(150)]
+    rows += [(500, "hot", " ".join(f"h{k}" for k in range(9000))), (3, "a", "again and again"), (None, "b", "no id"), (501, "e", None)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, source string, text string, size int, block string").repartition(4)
+    m = mixing.Mix(df, block=8, shard=64, stretch=40)
+    got = m.blocks().collect()
+    taken = {}
+    slots = {}
+    for r in got:
+        assert 0 < r["words"] <= 8 and r["first"] >= 0
+        taken[r["source"], r["stretch"], r["row"]] = taken.get((r["source"], r["stretch"], r["row"]), 0) + r["words"]
+        slots.setdefault((r["shard"], r["place"], r["source"], r["block"]), []).append(r["words"])
+    # What is taken of documents is what stands in the blocks, each of 8 words but a source's last ones.
+    assert sorted(taken.values()) == sorted(r["taken"] for r in m.taken().collect() if r["taken"])
+    words = {}
+    for key, held in slots.items():
+        assert sum(held) <= 8
+        words.setdefault(key[2], []).append(sum(held))
+    assert all(sum(n < 8 for n in held) <= 5 for held in words.values())
+    # Counts of a source over shards are multinomial: chi-square of a uniform draw, far in its tail neither way.
+    shards = -(-sum(len((t or "").split()) for _, _, t in rows) // (8 * 64))
+    by = {}
+    for shard, _, source, _ in slots:
+        by.setdefault(source, [0] * shards)[shard] += 1
+    for source, counts in by.items():
+        n = sum(counts)
+        if n >= 200:
+            chi = sum((c - n / shards) ** 2 / (n / shards) for c in counts)
+            assert shards / 20 < chi < 3 * shards + 20, (source, counts)
+    # Each pass of a source takes every block as often: block counts differ by one pass at most.
+    for source in by:
+        per = {}
+        for key in slots:
+            if key[2] == source:
+                per[key[3]] = per.get(key[3], 0) + 1
+        assert max(per.values()) - min(per.values()) <= 1 or len(per) < 3
+
+
 def test_licenses(spark):
     mit = "Copyright (c) 2020 Somebody\n\n" + licenses._MIT.replace("publish", "PUBLISH").replace(" ", "  ")
     got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame([(1, mit), (2, "text"), (3, None), (4, ""), (5, "Licensed under the Apache Licence, version 2.0")], "doc_id long, text string")).collect()}
