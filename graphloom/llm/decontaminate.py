@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from graphloom.llm._shared import text_batches
 
 WIDTH, CONTAINMENT = 5, 0.8
-#: Bytes of test items that one pass over the documents takes along. A larger benchmark is searched in such blocks.
-BLOCK_BYTES = 32 << 20
+#: Bytes of test items that one pass over the documents takes along: their index, texts and sketches in arrays, takes no
+#: more than thrice that. A larger benchmark is searched in such blocks.
+BLOCK_BYTES = 16 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -45,23 +46,22 @@ class ContainmentIndex:
         from xxhash import xxh64_intdigest
 
         self.width, self.hash = width, xxh64_intdigest
-        self.items: list[tuple[int, frozenset[str], int]] = []
-        partitions: dict[int, list[tuple[int, int]]] = {}
+        self.items: list[tuple[int, bytes, int]] = []
+        partitions: dict[int, list[tuple[np.ndarray, int]]] = {}
         for key, text in items:
             own = frozenset(shingles(words(text), width))
             if not own:
                 continue
             need = math.ceil(containment * len(own) - 1e-9)
-            sketch = sorted(xxh64_intdigest(s) for s in own)[: len(own) - need + 1]
-            partitions.setdefault(len(own).bit_length(), []).extend((h, len(self.items)) for h in sketch)
-            self.items.append((key, own, need))
+            hashes = np.sort(np.fromiter(map(xxh64_intdigest, own), np.uint64, len(own)))
+            partitions.setdefault(len(own).bit_length(), []).append((hashes[: len(own) - need + 1], len(self.items)))
+            self.items.append((key, text.encode(), need))
         self.partitions = []
-        for _, pairs in sorted(partitions.items()):
-            by: dict[int, list[int]] = {}
-            for h, k in pairs:
-                by.setdefault(h, []).append(k)
-            hashes = np.array(sorted(by), np.uint64)
-            self.partitions.append((hashes[-1], hashes, by))
+        for _, sketches in sorted(partitions.items()):
+            hashes = np.concatenate([h for h, _ in sketches])
+            owners = np.repeat(np.array([k for _, k in sketches], np.uint32), [len(h) for h, _ in sketches])
+            order = np.argsort(hashes, kind="stable")
+            self.partitions.append((hashes[order], owners[order]))
 
     def search(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item, shared shingles, shingles of the item) of each match."""
@@ -70,17 +70,17 @@ class ContainmentIndex:
             return []
         hashes = np.fromiter(map(self.hash, own), np.uint64, len(own))
         candidates: set[int] = set()
-        for limit, known, by in self.partitions:
-            sketch = hashes[hashes <= limit]
+        for known, owners in self.partitions:
+            sketch = hashes[hashes <= known[-1]]
             at = np.searchsorted(known, sketch)
-            for h in np.unique(sketch[known[np.minimum(at, len(known) - 1)] == sketch]).tolist():
-                candidates.update(by[h])
-        if not candidates:
-            return []
-        have = set(own)
+            hit = np.unique(at[known[at] == sketch])
+            for start, end in zip(hit.tolist(), np.searchsorted(known, known[hit], "right").tolist()):
+                candidates.update(owners[start:end].tolist())
+        have = set(own) if candidates else ()
         out = []
         for k in sorted(candidates):
-            key, of, need = self.items[k]
+            key, raw, need = self.items[k]
+            of = set(shingles(words(raw.decode()), self.width))
             shared = len(of & have)
             if shared >= need:
                 out.append((key, shared, len(of)))
@@ -104,7 +104,7 @@ def _blocks(items: DataFrame):
     """The items in lists of at most BLOCK_BYTES, by id."""
     block, held = [], 0
     for row in items.orderBy("id", "text").toLocalIterator():
-        size = 64 + len(row["text"] or "")
+        size = 64 + len((row["text"] or "").encode())
         if block and held + size > BLOCK_BYTES:
             yield block
             block, held = [], 0

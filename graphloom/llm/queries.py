@@ -21,7 +21,7 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated strings of 100 bytes, removed from all documents."""
     out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=100)
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

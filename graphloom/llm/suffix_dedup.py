@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm._shared import Scratch, text_batches
 from graphloom.llm.suffix_sort import repeated_windows
@@ -19,6 +20,10 @@ CHUNK = 4096
 #: Bytes sorted in one suffix array, and bytes of text that are hashed at once.
 BLOCK, SLICE = 300_000, 1 << 19
 
+#: A range or piece packs its place and its number of windows, below 2^SHIFT, in one long.
+SHIFT = 12
+_SIZES = (1 << SHIFT) - 1
+
 _LOW = np.uint64((1 << 20) - 1)
 _MOD = 1 << 64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -105,7 +110,7 @@ def _occurrences(window: int, gram: int):
         a, b = order[1:], order[:-1]
         first = np.ones(len(order), bool)
         first[a] = (h[a] != h[b]) | (g[a] != g[b]) | (row[a] != row[b])
-        columns = [h.view(np.int64), g.view(np.int64), doc, at << 7 | size, first]
+        columns = [h.view(np.int64), g.view(np.int64), doc, at << SHIFT | size, first]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "g", "doc", "at", "first"])
 
     def run(batches):
@@ -148,8 +153,8 @@ def _slices(window: int):
             for doc, text, pieces in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2)):
                 raw = bytes(text.as_buffer())
                 for p in pieces.as_py():
-                    start, size = p["at"] >> 7, p["at"] & 127
-                    row = (p["h"], p["ci"], p["cj"], doc.as_py(), p["at"], raw[start : start + size - 1 + window])
+                    start, size = p["at"] >> SHIFT, p["at"] & _SIZES
+                    row = (p["h"], p["c"], p["chunks"], doc.as_py(), p["at"], raw[start : start + size - 1 + window])
                     for column, x in zip(out, row):
                         column.append(x)
                     held += len(row[-1])
@@ -163,15 +168,15 @@ def _slices(window: int):
 
 def _piece_batch(columns):
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h", "ci", "cj", "doc", "at", "piece"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h", "c", "chunks", "doc", "at", "piece"])
 
 
 def _sorted_ranges(window: int):
     """Suffix-sorts pieces, all of an anchor in one array, and yields the windows that stand earlier too."""
 
     def ranges(keys, docs, ats, pieces):
-        starts = np.array([a & 127 for a in ats], np.int64)
-        places = [a >> 7 for a in ats]
+        starts = np.array([a & _SIZES for a in ats], np.int64)
+        places = [a >> SHIFT for a in ats]
         flags = repeated_windows(pieces, starts, list(zip(docs, places)), window)
         out_doc, out_at = [], []
         for doc, place, flag in zip(docs, places, flags):
@@ -179,7 +184,7 @@ def _sorted_ranges(window: int):
                 edges = np.flatnonzero(np.diff(np.r_[0, flag.view(np.int8), 0]))
                 for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
                     out_doc.append(doc)
-                    out_at.append((place + s) << 7 | (e - s))
+                    out_at.append((place + s) << SHIFT | (e - s))
         return pa.RecordBatch.from_arrays([pa.array(out_doc, pa.int64()), pa.array(out_at, pa.int64())], ["doc", "at"])
 
     def run(batches):
@@ -221,7 +226,7 @@ def _cut(window: int, as_text: bool):
                 kept, removed, spans = raw, 0, 0
                 if ranges.is_valid and len(raw):
                     at = np.sort(ranges.values.to_numpy())
-                    begin, end = at >> 7, (at >> 7) + (at & 127) - 1 + window
+                    begin, end = at >> SHIFT, (at >> SHIFT) + (at & _SIZES) - 1 + window
                     reach = np.maximum.accumulate(end)
                     new = np.r_[True, begin[1:] > reach[:-1]]
                     starts, ends = begin[new], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(at) - 1]]
@@ -248,6 +253,8 @@ def repeated_ranges(scratch: Scratch, docs: DataFrame, window: int = 100, gram:
        neighbours, and all but the earliest are ranges. An anchor with many pieces is dealt out as pairs of chunks.
     Nothing else is compared, and no anchor that stands once leaves step 1.
     """
+    if not gram <= window < gram + _SIZES:
+        raise ValueError(f"window must be from {gram} to {gram + _SIZES - 1} bytes")
     pieces = docs.mapInArrow(_occurrences(window, gram), "h bigint, g bigint, doc bigint, at bigint, first boolean")
     pieces = scratch.keep(pieces, "pieces")
     inner = scratch.keep(pieces.where("not first").select("doc", "at"), "inner")
@@ -270,42 +277,46 @@ def repeated_ranges(scratch: Scratch, docs: DataFrame, window: int = 100, gram:
     counts = leads.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     leads = leads.join(counts, "h").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
     leads = leads.withColumn("c", F.pmod(F.xxhash64("g"), F.col("chunks")).cast("int"))
-    leads = leads.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    listed = leads.groupBy("doc").agg(F.collect_list(F.struct("h", F.least("c", "x").alias("ci"), F.greatest("c", "x").alias("cj"), "at")).alias("pieces"))
+    # A document's pieces cover each of its bytes a few times at most, so their list is no longer than its text.
+    listed = leads.groupBy("doc").agg(F.collect_list(F.struct("h", "c", "chunks", "at")).alias("pieces"))
     cut = docs.join(listed, "doc").select("doc", "text", "pieces")
-    cut = cut.mapInArrow(_slices(window), "h bigint, ci int, cj int, doc bigint, at bigint, piece binary")
+    cut = cut.mapInArrow(_slices(window), "h bigint, c int, chunks int, doc bigint, at bigint, piece binary")
+    cut = cut.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cut = cut.select("h", F.least("c", "x").alias("ci"), F.greatest("c", "x").alias("cj"), "doc", "at", "piece")
     cut = cut.repartition("h", "ci", "cj").sortWithinPartitions("h", "ci", "cj")
     found = scratch.keep(cut.mapInArrow(_sorted_ranges(window), "doc bigint, at bigint"), "ranges")
     scratch.release_shuffles()
-    return copies.union(found)
+    return copies.union(found.distinct())  # one that several pairs of chunks find counts once
 
 
 def _placed(scratch: Scratch, rows: DataFrame) -> DataFrame:
-    """rows(_doc, _text, ...) with the place of (id, text) among all in place of the id, which repeats or is null."""
-    rows = rows.withColumn("_own", F.sha2(F.coalesce("_text", F.lit("")), 256))
-    order = rows.select("_doc", "_own").distinct().orderBy(F.col("_doc").asc_nulls_last(), "_own")
-    order = scratch.keep(order.withColumn("_place", F.monotonically_increasing_id()), "places")
+    """rows(doc, text, row) with the place of (id, text) among all in place of the id, which repeats or is null."""
+    rows = rows.withColumn("own", F.sha2(F.coalesce("text", F.lit("")), 256))
+    order = rows.select("doc", "own").distinct().orderBy(F.col("doc").asc_nulls_last(), "own")
+    order = scratch.keep(order.withColumn("place", F.monotonically_increasing_id()), "places")
     r, o = rows.alias("r"), order.alias("o")
-    both = r.join(o, F.col("r._doc").eqNullSafe(F.col("o._doc")) & (F.col("r._own") == F.col("o._own")))
-    return scratch.keep(both.select(F.col("_place").alias("_doc"), *(f"r.`{c}`" for c in rows.columns[1:-1])), "rows")
+    both = r.join(o, F.col("r.doc").eqNullSafe(F.col("o.doc")) & (F.col("r.own") == F.col("o.own")))
+    return scratch.keep(both.select(F.col("place").alias("doc"), "text", "row"), "rows")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 100, as_text: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """(the columns `carry`, n_bytes, n_removed, n_spans, kept) of each row of docs; carry is [key], named id, if not given.
+    """(row, n_bytes, n_removed, n_spans, kept) of each row of docs; row is a struct of the columns `carry`, the key if not
+    given, so their names clash with nothing.
 
     Removes each byte covered by a string of `window` bytes that also starts earlier: in a document of smaller id, or
-    earlier in the same one. Overlaps count; strings are judged on the input. Null texts are empty. A null id is the
-    largest. Different texts of one id are documents of their own, in the order of a digest; rows of one id and one text
-    are one document and are cut alike. kept is binary, or a string without characters that a cut has split if as_text.
+    earlier in the same one. Overlaps count; strings are judged on the input. Null texts are empty; very long ones are
+    hashed in slices. A null id is the largest. Different texts of one id are documents of their own, in the order of a
+    digest; rows of one id and one text are one document and are cut alike. kept is binary, or a string without
+    characters that a cut has split if as_text.
     """
     text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "suffix")
-    rows = docs.select(F.col(key).cast("bigint").alias("_doc"), F.col(text).cast("string").alias("_text"), *([F.col(key).alias("id")] if carry is None else carry))
-    named = rows.columns[2:]
-    if not rows.groupBy("_doc").agg(F.count("*").alias("n")).where("n > 1 or _doc is null").isEmpty():
+    row = F.struct(*(F.col(c) for c in carry or [key])).alias("row")
+    rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"), row)
+    if not rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1 or doc is null").isEmpty():
         rows = _placed(scratch, rows)
-    ranges = repeated_ranges(scratch, rows.select(F.col("_doc").alias("doc"), F.col("_text").alias("text")), window)
-    ranges = ranges.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("at").alias("_ranges"))
-    rows = rows.join(ranges, "_doc", "left").select("_text", "_ranges", *named)
-    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in named)
-    return rows.mapInArrow(_cut(window, as_text), f"{kinds}n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}")
+    ranges = repeated_ranges(scratch, rows.select("doc", "text"), window)
+    ranges = ranges.groupBy("doc").agg(F.collect_list("at").alias("ranges"))
+    rows = rows.join(ranges, "doc", "left").select("text", "ranges", "row")
+    schema = T.StructType([rows.schema["row"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans"))])
+    return rows.mapInArrow(_cut(window, as_text), schema.add("kept", T.StringType() if as_text else T.BinaryType()))

@@ -53,11 +53,30 @@ def test_suffix_dedup(spark):
     rows = [(i, "".join(rng.choice(parts)[rng.randrange(40) :] for _ in range(rng.randrange(4)))) for i in range(40)]
     rows += [(90, None), (91, ""), (92, "x" * 700), (93, "x" * 50)]
     df = spark.createDataFrame([(d, t, None, "a", "b") for d, t in rows], DOCS)
-    got = {r["id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(df).collect()}
+    got = {r["row"]["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(df).collect()}
     assert got == brute_repeats(rows, 100)
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_long_texts_chunks_and_windows(spark, monkeypatch):
+    rng = random.Random(12)
+    part = ["".join(rng.choice("abcd") for _ in range(n)) for n in (150, 400, 90, 230)]
+    filler = lambda n: "".join(rng.choice("efghijkl") for _ in range(n))
+    rows = [(k, filler(rng.randrange(2000)) + part[k % 4] + filler(70) + part[(k + 1) % 4]) for k in range(24)]
+    rows += [(50, filler(9000) + part[1] + filler(4000) + part[1]), (51, "ab" * 2000), (52, "ab" * 1700)]
+    monkeypatch.setattr(suffix_dedup, "SLICE", 4096)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for window in (100, 300):
+        scratch = suffix_dedup.Scratch(spark, "test")
+        ranges = suffix_dedup.repeated_ranges(scratch, df.select(df["doc_id"].alias("doc"), "text"), window, chunk=3)
+        gone = {}
+        for r in ranges.collect():
+            start, size = r["at"] >> suffix_dedup.SHIFT, r["at"] & (1 << suffix_dedup.SHIFT) - 1
+            gone.setdefault(r["doc"], set()).update(range(start, start + size - 1 + window))
+        got = {d: "".join(c for k, c in enumerate(t) if k not in gone.get(d, ())).encode() for d, t in rows}
+        assert got == brute_repeats(rows, window)
+
+
 def test_covering_masks(spark):
     masks = simhash.covering_masks(4)
     rng = random.Random(1)
@@ -129,6 +148,42 @@ def test_decontamination(spark):
     assert decontaminate.contamination(df, items.limit(0)).count() == 0
 
 
+def test_decontamination_against_brute_force(spark, monkeypatch):
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(300)]
+    items = [(i % 25, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 90)))) for i in range(40)]  # ids repeat
+    docs = []
+    for i in range(120):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(200))]
+        if i % 2:
+            own = rng.choice(items)[1].split()
+            own = own[: rng.randrange(len(own) // 2, len(own) + 1)]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = own
+        docs.append((i % 100, " ".join(words)))
+    docs.append((200, " ".join(vocabulary * 400) + " " + items[3][1]))
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    want = {}
+    for d, t in docs:
+        have = grams(t)
+        for i, own in ((i, grams(x)) for i, x in items):
+            shared = len(own & have)
+            if shared >= 0.8 * len(own) - 1e-9:
+                want[d, i] = max(want.get((d, i), (0, 0)), (shared, len(own)))
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in docs], "doc_id long, text string, shared int, size int")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for block in (decontaminate.BLOCK_BYTES, 900):  # one block of items, and many
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        got = {(r["doc_id"], r["item_id"]): (r["shared"], r["size"]) for r in decontaminate.contamination(df, table).collect()}
+        assert got == want and len(want) > 20
+        hit = {d for d, _ in want}
+        assert {r["doc_id"] for r in decontaminate.without_contaminated(df, table).collect()} >= {d for d, _ in docs} - hit
+
+
 def test_quality(spark):
     docs = [(i, "The plain words of a sentence go on here, and on. " * 4 if i % 2 else "BUY!! NOW!! FREE!! $$$ ### " * 8) for i in range(120)] + [(500, None), (501, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
@@ -160,6 +215,38 @@ def test_chat_round_trip_and_trees(spark):
     assert said == {0: ["q", "b", "c"], 1: ["q", "a"]}
 
 
+def test_chat_forests(spark):
+    rng = random.Random(13)
+    rows = []
+    for conv in (1, 2, None):
+        for n in range(60):
+            up = rng.choice([None, 999]) if n < 3 else rng.randrange(n)
+            rows.append((conv, n, up, float(rng.randrange(3)), "user", f"{conv}/{n}"))
+    rows += [(5, k, k - 1 if k else None, 1.0, "assistant", f"t{k}") for k in range(70)]  # a long chain
+    rows += [(6, 0, 1, 0.0, "user", "x"), (6, 1, 0, 0.0, "user", "y"), (6, 2, 1, 0.0, "user", "z"), (6, 3, None, 0.0, "user", "alone")]  # a cycle
+    rows += [(5, 3, 2, 1.0, "assistant", "t3"), (7, 0, None, None, None, None)]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "conv long, node long, parent long, score double, role string, text string, rank string").repartition(3)
+    want = {}
+    for conv in {r[0] for r in rows}:
+        up = {r[1]: r[2] for r in rows if r[0] == conv}
+        score = {r[1]: r[3] for r in rows if r[0] == conv}
+        text = {r[1]: r[5] or "" for r in rows if r[0] == conv}
+        paths = []
+        for leaf in set(up) - set(up.values()):
+            path = [leaf]
+            while up[path[-1]] in up and len(path) <= len(up):
+                path.append(up[path[-1]])
+            if len(path) <= len(up):
+                paths.append((-sum(score[n] or 0 for n in path), leaf, [text[n] for n in reversed(path)]))
+        for rank, (_, leaf, said) in enumerate(sorted(paths)):
+            want[conv, rank] = leaf, said
+    for keep in (1, 3):
+        out = chat.format_branches(df, keep=keep)
+        got = {(r["conv"], r["rank"]): (r["leaf"], [t["text"] for t in r["t"]]) for r in out.select("conv", "rank", "leaf", chat.read_back(out["formatted"]).alias("t")).collect()}
+        assert got == {k: v for k, v in want.items() if k[1] < keep}
+    assert chat.format_branches(df.limit(0)).count() == 0
+
+
 def test_html():
     page = "<html><head><title>t</title></head><body><nav><a>menu</a></nav><article><h1>T &amp; U</h1><p>One\n two<br>three<p>4</p><div class='comments'>c</div></article><footer>f</footer>"
     assert html_text.main_text(page) == "T & U\nOne two three\n4"
@@ -330,7 +417,8 @@ def test_suffix_dedup_repeated_and_null_ids(spark):
     want = brute_repeats([(k, t) for k, (_, t) in enumerate(order)], 100)
     want = {row: want[k] for k, row in enumerate(order)}
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = [((r["doc_id"], r["text"]), bytes(r["kept"]), r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(df, carry=["doc_id", "text"]).collect()]
+    df = df.selectExpr("*", "1 as doc", "2 as kept", "3 as ranges", "4 as n_bytes", "5 as row", "6 as place")
+    got = [((r["row"]["doc_id"], r["row"]["text"]), bytes(r["kept"]), r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(df, carry=["doc_id", "text", "kept", "ranges", "n_bytes", "row", "doc", "place"]).collect()]
     assert sorted((row for row, *_ in got), key=str) == sorted(rows, key=str)
     assert all(kept == want[row] and n == len(row[1] or "") and gone == n - len(kept) for row, kept, n, gone in got)
 
