@@ -39,8 +39,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated strings of 100 bytes; documents of which nothing is left go."""
     rest = suffix_dedup.remove_repeats(docs, window=100, as_text=True, carry=[c for c in docs.columns if c != "text"])
-    out = rest.where("n_removed = 0 or trim(kept) <> ''").withColumn("text", F.col("kept"))
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    own = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    columns = [own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    return rest.where("n_removed = 0 or trim(kept) <> ''").select(columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
