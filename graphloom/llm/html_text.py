@@ -8,16 +8,19 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from graphloom.llm._shared import text_batches
 
 #: Elements whose content is never main text.
-DROPPED = frozenset("script style noscript template head title nav header footer aside form button select option textarea input label iframe object embed svg canvas dialog menu audio video map".split())
+DROPPED = frozenset("script style noscript template head title nav header footer aside button select option textarea input label iframe object embed svg canvas dialog menu audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Words of a class, id or role that name what is beside the main text.
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus menu nav navbar navigation newsletter notice notices pager pagination popup promo promoted related reply replies respond share sharing sidebar side-bar skip social sponsor sponsored subscribe toolbar widget".split())
 #: What the ratios of lines in an article or main element count times, where that element holds all of the page's text.
 BOOST = 16
+#: Characters from which a line that is all link counts as prose.
+LONG_LINK = 80
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 #: Elements that end at the start of another of their kind or, of those listed, of a block.
@@ -25,11 +28,13 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 
 
 class _Lines(HTMLParser):
-    """Streams parser events into lines, one per block: (text, tags met, in an article, share of its characters that are links)."""
+    """Streams parser events into lines, one per block: (text, tags met, in an article, share of its characters that are
+    links, in a form)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, float]] = []
+        self.lines: list[tuple[str, int, bool, float, bool]] = []
+        self.forms = 0
         self.stack: list[tuple[str, bool]] = []  # open elements, and whether each is dropped
         self.dropped = 0
         self.articles = 0
@@ -41,7 +46,7 @@ class _Lines(HTMLParser):
     def end_line(self):
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text or self.tags:
-            self.lines.append((text, self.tags, self.articles > 0, min(1.0, self.linked / max(len(text), 1))))
+            self.lines.append((text, self.tags, self.articles > 0, min(1.0, self.linked / max(len(text), 1)), self.forms > 0))
         self.text, self.tags, self.linked = [], 0, 0
 
     def pop(self):
@@ -49,6 +54,7 @@ class _Lines(HTMLParser):
         self.dropped -= drops
         self.articles -= tag in ("article", "main")
         self.links -= tag == "a"
+        self.forms -= tag == "form"
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -77,6 +83,7 @@ class _Lines(HTMLParser):
         self.dropped += drops
         self.articles += tag in ("article", "main")
         self.links += tag == "a"
+        self.forms += tag == "form"
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCKS:
@@ -133,10 +140,12 @@ def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
-def regions(lines: list[tuple[str, int, bool, float]], sigma: float = 1.0) -> list[str]:
+def regions(lines: list[tuple[str, int, bool, float, bool]], sigma: float = 1.0) -> list[str]:
     """The lines of content regions.
 
-    A line's ratio is its characters over its tags (one at least). Ratios are smoothed; lines at or above the threshold,
+    Lines in forms go first, unless they are most of the page, as where one form wraps it. A line's ratio is its
+    characters over its tags (one at least); those of links count only in lines of LONG_LINK characters or more, so a page
+    of nothing but short links has no content. Ratios are smoothed; lines at or above the threshold,
     the standard deviation of the smoothed ratios but no more than half their mean, are content. They cluster in
     regions: a stretch without two lines in a row below. Article and main elements are a prior only: a line in one is
     held against the threshold with its smoothed ratio times BOOST to the power of the share that these elements have
@@ -144,14 +153,17 @@ def regions(lines: list[tuple[str, int, bool, float]], sigma: float = 1.0) -> li
     lists in it must pass by their ratio alone, and an element that only wraps a teaser says next to nothing.
     """
     lines = [x for x in lines if x[0]]
-    if not lines:
+    if 2 * sum(len(x[0]) for x in lines if x[4]) <= sum(len(x[0]) for x in lines):
+        lines = [x for x in lines if not x[4]]
+    said = [len(text) * (1 - linked if len(text) < LONG_LINK else 1) for text, _, _, linked, _ in lines]
+    if not any(said):
         return []
-    ratio = smoothed([len(text) / max(tags, 1) for text, tags, _, _ in lines], sigma)
+    ratio = smoothed([n / max(x[1], 1) for n, x in zip(said, lines)], sigma)
     mean = sum(ratio) / len(ratio)
     deviation = math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
     threshold = min(deviation, mean / 2)
-    share = sum(len(text) for text, _, marked, _ in lines if marked) / sum(len(text) for text, _, _, _ in lines)
-    content = [r * (BOOST ** (share * (1 - linked)) if marked else 1) >= threshold for r, (_, _, marked, linked) in zip(ratio, lines)]
+    share = sum(len(x[0]) for x in lines if x[2]) / sum(len(x[0]) for x in lines)
+    content = [r * (BOOST ** (share * (1 - linked)) if marked else 1) >= threshold for r, (_, _, marked, linked, _) in zip(ratio, lines)]
     for i in range(1, len(content) - 1):
         if content[i - 1] and content[i + 1]:
             content[i] = True
@@ -176,6 +188,8 @@ def _texts(batches):
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The columns `keep` and text, the main text of the whole page, of every row; null and empty pages have none."""
+    """The columns `keep` and text, the main text of the whole page, of every row; null and empty pages have none. Repeated
+    rows each get theirs; unclosed elements end where what encloses them does, or the page. Other columns don't matter."""
+    text_batches(pages.sparkSession)
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
     return pages.select(html, *keep).mapInArrow(_texts, f"{schema}, text string")

@@ -206,12 +206,14 @@ def _accepts(model: AdditiveModel, text: int, threshold: float):
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> AdditiveModel:
     """Learns `label` (0 or 1) from texts alone, on labelled rows that are not held out, at most `rows` of them.
 
-    Rows without a label or an id are left out. An id with several labels counts by their mean, 1 from a half on.
+    Rows without a label or an id are left out. An id with several labels counts by their mean, 1 from a half on; of rows
+    that repeat an id the least text counts.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
     known = known.orderBy(F.xxhash64(key), key).limit(rows)
-    sample = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(known), key).select("_y", "_text")
-    got = sample.mapInArrow(_feature_rows, "y int, x array<double>").toArrow()  # `rows` short vectors, unless ids repeat
+    sample = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(known), key)
+    sample = sample.groupBy(key).agg(F.min("_y").alias("_y"), F.min(F.coalesce("_text", F.lit(""))).alias("_text")).select("_y", "_text")
+    got = sample.mapInArrow(_feature_rows, "y int, x array<double>").toArrow()  # at most `rows` short vectors
     x = np.array(got.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     y = np.array(got.column("y").to_pylist(), np.float64)
     order = np.lexsort((*x.T, y))  # rows come in any order; sums must not depend on it

@@ -62,17 +62,13 @@ def tokens_of(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(_lower(c), F.lit("([a-z0-9]+)"), 1))
 
 
-def judge(pages: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow") -> DataFrame:
-    """pages with host, path, rule (the listed rule that decides, else null) and verdict.
+def candidates(addresses: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(host, path, name, pattern, action, rank, listed): the rules that each address (host, path) fetches, not yet tried.
 
-    Each distinct address (host and path) is judged once. A rule is filed under the one of its tokens that fewest
-    addresses hold; an address fetches the rules filed under its own tokens, and only those run as regular expressions.
-    Null URLs and those without :// have an empty host and path, which only a rule without tokens can fit.
+    A rule is filed under the one of its tokens that fewest addresses hold; an address fetches the rules filed under its
+    own tokens, and those without a token.
     """
-    spark = pages.sparkSession
-    pages = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    text = F.concat("host", "path")
-    addresses = pages.select("host", "path").distinct()
+    spark, text = addresses.sparkSession, F.concat("host", "path")
     numbered = [(k, r.name, r.pattern, r.action, r.rank, r.listed) for k, r in enumerate(rules)]
     table = spark.createDataFrame(numbered, "id int, name string, pattern string, action string, rank int, listed boolean")
     literal = sorted({t for r in rules for t in r.tokens})
@@ -83,15 +79,27 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", default: str =
         rows = seen.join(_small(wanted, literal), "token").groupBy("token").count()
         counts = {r["token"]: r["count"] for r in rows.collect()}  # a row per literal of the rules
     filed = [(min(r.tokens, key=lambda t: (counts.get(t, 0), t)) if r.tokens else "", k) for k, r in enumerate(rules)]
-    index = spark.createDataFrame(filed, "token string, id int").join(table, "id")
+    index = spark.createDataFrame(filed, "token string, id int").join(table, "id").drop("id")
     index = _small(index, [r.name + r.pattern for r in rules])
     keys = F.array_append(tokens_of(text), F.lit(""))
-    looked = addresses.select("host", "path", F.explode(keys).alias("token")).join(index, "token")
+    return addresses.select("host", "path", F.explode(keys).alias("token")).join(index, "token").drop("token")
+
+
+def judge(pages: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow") -> DataFrame:
+    """pages with host, path, rule (the listed rule that decides, else null) and verdict; columns of those names are replaced.
+
+    Each distinct address (host and path) is judged once, by the rules that it fetches from the index; only those run as
+    regular expressions. Ties of rank go to the smaller name. Null URLs and those without :// have an empty host and
+    path, which only a rule without tokens can fit. Repeated rows each get a verdict.
+    """
+    pages = pages.drop("host", "path", "rule", "verdict").select("*", host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    looked = candidates(pages.select("host", "path").distinct(), rules)
     looked = looked.where(F.expr("regexp_like(concat(host, path), pattern)"))
     won = looked.groupBy("host", "path").agg(F.min_by(F.struct("name", "action", "listed"), F.struct(-F.col("rank"), "name")).alias("won"))
-    out = pages.join(won, ["host", "path"], "left")
-    rule = F.when(F.col("won.listed"), F.col("won.name"))
-    return out.withColumn("rule", rule).withColumn("verdict", F.coalesce("won.action", F.lit(default))).drop("won")
+    out, won = pages.alias("p"), won.alias("w")
+    out = out.join(won, (F.col("p.host") == F.col("w.host")) & (F.col("p.path") == F.col("w.path")), "left")
+    rule = F.when(F.col("w.won.listed"), F.col("w.won.name"))
+    return out.select("p.*", rule.alias("rule"), F.coalesce("w.won.action", F.lit(default)).alias("verdict"))
 
 
 def _small(df: DataFrame, texts: list[str]) -> DataFrame:

@@ -194,6 +194,60 @@ def test_quality(spark):
     assert quality.train(df, labels.limit(0)).score(np.zeros((1, len(quality.FEATURES))))[0] == 0.5
 
 
+def test_quality_query_held_out(spark, tmp_path):
+    from binascii import crc32
+
+    from graphloom.llm import queries
+
+    rng = random.Random(17)
+    prose = ["the", "river", "runs", "under", "an", "old", "bridge", "and", "people", "walk", "home", "slowly"]
+    junk = ["BUY", "$$$", "click>>", "!!!", "|", "win", "FREE", "#1", "now!!", "99%"]
+    docs, labels = [], []
+    for i in range(900):
+        good = rng.random() < 0.6
+        words = [rng.choice(prose if rng.random() < (0.9 if good else 0.35) else junk) for _ in range(rng.randrange(20, 200))]
+        docs.append((i, " ".join(words).capitalize() + ".", "en", "s"))
+        labels.append((i, int(good), 0))
+    docs += [(5, docs[5][1], "de", "t"), (5, "other text", "de", "t"), (None, "no id at all here", None, None), (2000, None, "", ""), (2001, "", "", "")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*labels, (7, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op4_quality_classifier(spark, str(tmp_path)).collect()
+    assert len(got) == len(docs) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    assert all(r["held_out"] == (r["doc_id"] is not None and crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+    truth = {i: q for i, q, _ in labels}
+    held = [r for r in got if r["held_out"] and r["doc_id"] in truth and r["doc_id"] != 5]
+    assert len(held) > 200 and sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.95 * len(held)
+    # Held-out labels teach nothing: turned over, they leave each score as it is.
+    spark.createDataFrame([(i, 1 - q if crc32(str(i).encode()) % 3 == 1 else q, 0) for i, q, _ in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/b/documents.parquet")
+    again = queries.op4_quality_classifier(spark, f"{tmp_path}/b").collect()
+    scores = lambda rows: sorted((str(r["doc_id"]), round(r["score"], 12)) for r in rows)
+    assert scores(again) == scores(got)
+    one = quality.train(spark.createDataFrame(docs[:50], "doc_id long, text string, lang string, source string"), spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int"))
+    assert 0.9 < one.score(np.zeros((1, len(quality.FEATURES))))[0] < 1
+    assert quality.scored(spark.createDataFrame([], "doc_id long, text string"), one).count() == 0
+
+
+def test_url_index_of_many_rules(spark):
+    hosts = [f"site{i}.example{i % 50}.org" for i in range(3000)]
+    rules = [urls.address_rule("block", f"{h}/p{i % 7}/") for i, h in enumerate(hosts)] + [urls.address_rule("allow", "site10.example10.org/p3/ok"), *urls.DEFAULT_RULES]
+    pages = [(i, f"https://{rng}.{hosts[(i * 37) % 3000]}/p{i % 7}/x{i}?q", "h") for i, rng in enumerate(["www", "a.b"] * 200)] + [(900, "https://site10.example10.org/p3/okay", "h"), (901, "x" * 100_000, None), (902, "http://" + "y" * 50_000 + ".com/" + "z/" * 20_000, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, rule string")
+    fits = {}
+    for page, url, _ in pages:
+        host = url.partition("://")[2].partition("/")[0].lower()
+        path = "/" + url.partition("://")[2].partition("/")[2].partition("?")[0]
+        best = max((r for r in (f"{h}/p{i % 7}/" for i, h in enumerate(hosts)) if host and (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])), key=len, default=None)
+        fits[page] = best
+    fits[900] = "site10.example10.org/p3/ok"
+    got = {r["page_id"]: r["rule"] for r in urls.judge(df, rules).collect()}
+    assert got == fits and sum(v is not None for v in fits.values()) > 40
+    assert urls.judge(df.limit(0), rules).count() == 0
+    # A page fetches the rules of its own site's token only, not all of them.
+    looked = urls.candidates(df.select(urls.host_of(df["url"]).alias("host"), urls.path_of(df["url"]).alias("path")).distinct(), rules)
+    assert looked.count() <= 6 * len(pages)
+
+
 def test_urls(spark):
     rules = [urls.address_rule(*r) for r in (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "org/es/"))] + list(urls.DEFAULT_RULES)
     pages = [(1, "http://A.Example.com/en/77"), (2, "http://b.com/en/x"), (3, "http://bcom/en/x"), (4, None), (5, "no scheme"), (6, "http://casino.net"), (7, "http://org/es/?x"), (7, "http://org/es/?x")]
@@ -407,6 +461,21 @@ def test_html_ratios():
     assert html_text.main_text("<article><p>" + "Long words go on here. " * 20 + "</p>" + "<p>So it is.</p>" * 5 + "</article>").count("So it is.") == 5
 
 
+def test_html_forms_and_menus(spark):
+    body = "<h2>On bridges</h2>" + "".join(f"<p>Paragraph {k} goes on about the bridge and the river below it for a while.</p>" for k in range(6))
+    text = ["On bridges"] + [f"Paragraph {k} goes on about the bridge and the river below it for a while." for k in range(6)]
+    assert html_text.main_text(f"<form id=f><input name=q><article>{body}</article></form>").split("\n") == text
+    assert html_text.main_text(f"<form id=f>{body}</form>").split("\n")[1:] == text[1:]
+    assert html_text.main_text(f"<article>{body}</article><form><p>Sign up for news</p><label>Mail</label></form>").split("\n") == text
+    assert html_text.main_text("<div><a>Home</a><a>About</a></div>") == ""
+    deep = "<div>" * 3000 + "<p>Down here stands the only sentence of the page." + "</div>" * 3000
+    pages = [(1, "u", f"<article>{body}", 1), (1, "u", f"<article>{body}", 1), (2, None, None, 1), (3, "", "", 1), (4, "d", deep, 1), (5, "l", "<p>" + "word " * 200_000, 1), (6, "a", "<b>&lt;x&gt; &amp;amp; &#233;&nbsp;y", 1)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text int")
+    got = sorted(map(tuple, html_text.extract(df).collect()), key=str)
+    want = [(1, "u", "\n".join(text))] * 2 + [(2, None, ""), (3, "", ""), (4, "d", "Down here stands the only sentence of the page."), (5, "l", ("word " * 200_000).strip()), (6, "a", "<x> &amp; é y")]
+    assert got == sorted(want, key=str) and html_text.extract(df.limit(0)).count() == 0
+
+
 def test_suffix_dedup_repeated_and_null_ids(spark):
     rng = random.Random(6)
     part = ["".join(rng.choice("abcdef ") for _ in range(160)) for _ in range(8)]
