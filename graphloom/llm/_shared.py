@@ -71,6 +71,16 @@ class Scratch:
         time.sleep(0.5)  # the cleaner runs beside
 
 
+#: Keys of 8 bytes that are broadcast at most, so that a side of whole texts need not be shuffled.
+BROADCAST_KEYS = 1 << 20
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """keys, a written table of one long a row, marked for broadcast if its count is within BROADCAST_KEYS; beyond, joins
+    shuffle both sides."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, root) with the components of the edges (a, b); root is the smallest node. Fewer edges than nodes."""
     if not len(a):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import Scratch, bucket_links, connected_components, grouped_frames, text_batches
+from graphloom.llm._shared import Scratch, bucket_links, connected_components, few, grouped_frames, text_batches
 from graphloom.llm.simhash import link_fingerprints, shingle_hashes, simhash_of
 
 #: Least values that make the key of a band, and bands.
@@ -161,8 +161,8 @@ def similar_rows(docs: DataFrame, key: str, text: str = "text", width: int = 5,
     bands = some.select("node", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     bands = scratch.keep(bands.join(shared, "key"), "bands")
-    asked = bands.select("node").union(edges.select("a")).union(edges.select("b")).distinct()
-    sets = rows.join(asked, rows["row"] == asked["node"], "left_semi").mapInArrow(_sets(width), "node bigint, weight bigint, shingles binary")
+    asked = scratch.keep(bands.select("node").union(edges.select("a")).union(edges.select("b")).distinct(), "asked")
+    sets = rows.join(few(asked), rows["row"] == asked["node"], "left_semi").mapInArrow(_sets(width), "node bigint, weight bigint, shingles binary")
     sets = scratch.keep(sets, "sets")
     scratch.release_shuffles()
 
@@ -171,9 +171,17 @@ def similar_rows(docs: DataFrame, key: str, text: str = "text", width: int = 5,
         return dealt.select(*by, "node", "shingles").repartition(*by).sortWithinPartitions(*by).mapInPandas(_set_links(similarity), "a bigint, b bigint")
 
     links = bucket_links(scratch, bands.join(sets, "node"), ["key"], link, CHUNK)
+    scratch.release_shuffles()
+    parts = scratch.keep(connected_components(scratch, links), "parts")
+    # Candidates of the tables that bands have joined already need no second look.
+    root = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"root_{c}"))
+    open_ = edges.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    open_ = open_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "s"), ("b", "t")))
-    checked = edges.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_verified(similarity), "a bigint, b bigint")
-    parts = connected_components(scratch, links.union(scratch.keep(checked, "checked")))
+    checked = open_.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_verified(similarity), "a bigint, b bigint")
+    checked = scratch.keep(checked, "checked")
+    if not checked.isEmpty():
+        parts = connected_components(scratch, checked.union(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     classes = nodes.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     scratch.release_shuffles()
     return summaries.join(classes, "digest").select("row", "component")
