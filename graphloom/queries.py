@@ -143,13 +143,11 @@ _STATS = ("min", "max", "sum", "avg", "median", "var", "sd")
 
 @_register("q_stats", "SELECT " + ", ".join(f"round({sql}, 3) AS \"{n}\"" for n, sql in zip(_STATS, ("min(c_acctbal)", "max(c_acctbal)", "sum(c_acctbal)", "avg(c_acctbal)", "median(c_acctbal)", "var_samp(c_acctbal)", "stddev_samp(c_acctbal)"))) + " FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def q_stats(spark, sf_dir):
-    from graphloom.functions.statistics import statistic
-
-    one = run(driver_catalog(spark, sf_dir), "regions.nations.customers.acctbal:avg").df.select(F.round("value", 3).alias("avg"))
-    rest = driver_catalog(spark, sf_dir).entity("customer").table()
-    nations = _t(spark, sf_dir, "nation")
-    rest = rest.join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").agg(*[F.round(statistic(n, F.col("c_acctbal")), 3).alias(n) for n in _STATS if n != "avg"])
-    return rest.join(F.broadcast(one)).select(*_STATS)
+    catalog, out = driver_catalog(spark, sf_dir), None
+    for n in _STATS:  # a row each
+        one = run(catalog, f"regions.nations.customers.acctbal:{n}").df.select(F.round("value", 3).alias(n))
+        out = one if out is None else out.join(F.broadcast(one))
+    return out
 
 
 @_register("q_stats_edge", "SELECT CASE WHEN count(*) = 1 THEN 0.0 ELSE var_samp(p_size) END AS value FROM part WHERE p_partkey = 1")
@@ -383,11 +381,10 @@ def q_closure_nested(spark, sf_dir):
     return out.select(F.col("group").alias("src"), F.col("node").alias("dst"))
 
 
-@_register("q_help", "SELECT 'sum' AS name, 'sum' AS kind UNION ALL SELECT name, kind FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in __import__("graphloom.functions.statistics", fromlist=["NAMES"]).NAMES.items() if a != "sum") + ") AS v(name, kind)")
+@_register("q_help", """SELECT * FROM (VALUES ('selector', 'nation', '', 'nation'), ('selector', 'orders', 'order', 'order'), ('property', 'id', 'key', 'int'), ('property', 'name', '', 'atom'), ('property', 'nationkey', '', 'int'),
+    ('property', 'acctbal', '', 'float'), ('property', 'segment', 'mktsegment', 'atom'), ('property', 'num_orders', '', 'int'), ('initial selector', 'customers', '', 'customer'), ('initial selector', 'customer', '', 'customer')) AS v(kind, name, synonyms, type)""")
 def q_help(spark, sf_dir):
-    from graphloom.functions.statistics import NAMES
-
-    return spark.createDataFrame(sorted(NAMES.items()), "name string, kind string")
+    return run(driver_catalog(spark, sf_dir), "regions.nations.customers.?").df.select("kind", "name", "synonyms", "type")
 
 
 @_register("q_skeleton", "SELECT DISTINCT c_name AS value FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 2500")

@@ -60,6 +60,7 @@ class Catalog:
     entities: dict[str, Entity] = field(default_factory=dict)
     snapshot: str = ""
     starts: dict[str, tuple[str, Callable[..., DataFrame]]] = field(default_factory=dict)  # positional: name -> (kind, rows)
+    edges: DataFrame | None = None  # links of a program graph
 
     def add(self, *entities: Entity) -> Catalog:
         for e in entities:

@@ -9,62 +9,98 @@ from graphloom.functions import program_metrics as M
 from graphloom.functions.layout import layout_expressions
 from graphloom.plans.lexer import QueryError
 from graphloom.sources.catalog import Catalog, Entity, Property, Selector
+from graphloom.sources.scratch import settled
+
+
+class Paths:
+    """Paths over edges(src_id, tag, idx, dst_id), as (src, dst) rows. Closures are computed once for each tag."""
+
+    def __init__(self, edges: DataFrame, nodes: DataFrame | None = None):
+        self.edges, self.nodes, self.closures = edges, nodes, {}
+
+    def step(self, step: str) -> DataFrame:
+        name, _, test = step.partition("[")
+        tag, _, index = name.removeprefix("^").removesuffix("*").partition("#")
+        if name.endswith("*"):
+            pairs = self.closure(tag)
+        else:
+            link = self.edges.where(F.col("tag") == tag)
+            if index == "-1":
+                last = link.groupBy("src_id").agg(F.max_by("dst_id", "idx").alias("dst_id"))
+                link = last
+            elif index:
+                link = link.where(F.col("idx") == int(index))
+            pairs = link.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
+        if name.startswith("^"):
+            pairs = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        if test:
+            if self.nodes is None:
+                raise QueryError(f"no columns to test in {step}")
+            kept = self.nodes.where(F.expr(test.removesuffix("]"))).select(F.col("id").alias("dst"))
+            pairs = pairs.join(kept, "dst", "left_semi").select("src", "dst")
+        return pairs
+
+    def closure(self, tag: str) -> DataFrame:
+        """Any number of steps, none too. Rounds start from the ends of the tag's own links only."""
+        from graphloom.operators.graphs import reachable
+
+        if tag not in self.closures:
+            link = self.edges.where(F.col("tag") == tag).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
+            more = reachable(link, link.select(F.col("src").alias("node")).distinct()).select(F.col("root").alias("src"), F.col("node").alias("dst"))
+            every = self.edges.select(F.col("src_id").alias("src"), F.col("src_id").alias("dst")).union(self.edges.select("dst_id", "dst_id"))
+            self.closures[tag] = settled(more.union(every).distinct())
+        return self.closures[tag]
+
+    def follow(self, path: str) -> DataFrame:
+        """`a/b` is a, then b; `a|b` either; `a?b` is a, and b where a gives nothing; `^a` is a backwards; `a#2` the second
+        link only, `a#-1` the last; `a[TEST]` ends at nodes whose columns pass the test; `a*` any number of steps, none
+        too. `/` binds closest, then `|`, then `?`."""
+        first, _, rest = path.partition("?")
+        out = None
+        for option in first.split("|"):
+            pairs = None
+            for step in option.split("/"):
+                link = self.step(step)
+                pairs = link if pairs is None else pairs.select("src", F.col("dst").alias("mid")).join(link.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+            out = pairs if out is None else out.union(pairs)
+        out = out.distinct()
+        return out.union(self.follow(rest).join(out.select("src").distinct(), "src", "left_anti")) if rest else out
 
 
 def follow(edges: DataFrame, path: str) -> DataFrame:
-    """(src, dst) of a path over edges(src_id, tag, idx, dst_id): `a/b` is a, then b; `a|b` either; `^a` is a backwards;
-    `a#2` the second link only; `a*` any number of steps, none too. `/` binds closer than `|`."""
-    out = None
-    for option in path.split("|"):
-        pairs = None
-        for step in option.split("/"):
-            tag, _, index = step.removeprefix("^").removesuffix("*").partition("#")
-            link = edges.where(F.col("tag") == tag)
-            if index:
-                link = link.where(F.col("idx") == int(index))
-            link = link.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
-            if step.startswith("^"):
-                link = link.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-            if step.endswith("*"):
-                from graphloom.operators.graphs import reachable
-
-                nodes = edges.select(F.col("src_id").alias("node")).union(edges.select("dst_id")).distinct()
-                link = reachable(link, nodes).select(F.col("root").alias("src"), F.col("node").alias("dst"))
-            if pairs is None:
-                pairs = link
-            else:
-                pairs = pairs.select("src", F.col("dst").alias("mid")).join(link.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        out = pairs if out is None else out.union(pairs)
-    return out.distinct()
+    """(src, dst) of a path; see Paths.follow."""
+    return Paths(edges).follow(path)
 
 
 _ARGS = "arguments argument args arg parameters parameter params param"
 _DYN = "dynamic_calls dyncalls dyncall"
-#: Entity, names, result, path over link tags.
+#: Types of specs and fields: atoms are left out.
+_NAMED = "typeref[name <> 'atom']"
+#: Entity, names, result, path over link tags; with a minus sign, without the node itself.
 SELECTORS = (
     ("file", "functions function funs fun", "function", "func"), ("file", "records record recs rec", "record", "record"), ("file", "macros macro", "macro", "macro"),
-    ("file", "includes", "file", "incl"), ("file", "included_by", "file", "^incl"), ("file", "imports", "function", "funimp"), ("file", "exports", "function", "funexp"),
+    ("file", "includes", "file", "incl -"), ("file", "included_by", "file", "^incl -"), ("file", "imports", "function", "funimp"), ("file", "exports", "function", "funexp"),
     ("file", "typedef typedefs types type", "type", "type"), ("file", "spec specs", "spec", "spec"), ("file", "typerefs", "type", "record/field/fielddef/typeref|type/typeref|spec/specclause/specpar/typeref|spec/specclause/specret/typeref"),
     ("function", "calls", "function", "funcall|dyncall"), ("function", "called_by", "function", "^funcall|^dyncall"), ("function", _DYN, "function", "dyncall|ambcall"),
     ("function", "dynamic_called_by dyncalled_by", "function", "^dyncall|^ambcall"), ("function", "references reference refs ref", "expression", "^funeref|^funlref|^dynref"),
     ("function", "dynamic_references dynrefs dynref", "expression", "^dynref|^ambref"), ("function", _ARGS, "expression", "funcl/pattern"), ("function", "body", "expression", "funcl/body"),
     ("function", "expressions expression exprs expr", "expression", "funcl/pattern|funcl/guard|funcl/body"), ("function", "variables variable vars var", "variable", "funcl/vardef"),
-    ("function", "file", "file", "^func"), ("function", "clause clauses", "clause", "funcl"), ("function", "spec", "spec", "specref"), ("function", "returntype returntypes rettype", "type", "specref/specclause/specret/typeref"),
-    ("clause", "calls", "function", "body/esub*/funeref"), ("clause", _DYN, "function", "body/esub*/dynref|body/esub*/ambref"), ("clause", _ARGS, "expression", "pattern"), ("clause", "body", "expression", "body"),
+    ("function", "file", "file", "^func"), ("function", "clause clauses", "clause", "funcl"), ("function", "spec", "spec", "specref"), ("function", "returntype returntypes rettype", "type", f"specref/specclause/specret/{_NAMED}"),
+    ("clause", "calls", "function", "|".join(f"{a}/esub*/{b}" for a in ("pattern", "guard", "body") for b in ("funeref", "dynref"))), ("clause", _DYN, "function", "body/esub*/dynref|body/esub*/ambref"), ("clause", _ARGS, "expression", "pattern"), ("clause", "body", "expression", "body"),
     ("clause", "expressions expression exprs expr", "expression", "pattern|guard|body"), ("clause", "variables variable vars var", "variable", "vardef"), ("clause", "file module", "file", "^funcl/^func"),
-    ("clause", "function func", "function", "^funcl"), ("clause", "spec", "spec", "^funcl/specref"), ("clause", "returntypes returntype", "type", "^funcl/specref/specclause/specret/typeref"),
+    ("clause", "function func", "function", "^funcl"), ("clause", "spec", "spec", "^funcl/specref"), ("clause", "returntypes returntype", "type", f"^funcl/specref/specclause/specret/{_NAMED}"),
     ("variable", "references reference refs ref", "expression", "^varref"), ("variable", "bindings", "expression", "^varbind"), ("variable", "function_definition function_def fun_def fundef", "function", "^vardef/^funcl"),
     ("spec", "fun func function", "function", "^specref"), ("spec", "file deffile", "file", "^specdef"), ("spec", "modref refmod", "file", "^spec"), ("spec", _ARGS, "specparam", "specclause/specpar"),
-    ("spec", "guardtype guardtypes", "type", "specclause/specguard/typeref"), ("spec", "returntype returntypes", "type", "specclause/specret/typeref"), ("specparam", "type", "type", "typeref"),
+    ("spec", "guardtype guardtypes", "type", f"specclause/specguard/{_NAMED}"), ("spec", "returntype returntypes", "type", f"specclause/specret/{_NAMED}"), ("specparam", "type", "type", _NAMED),
     ("type", "file", "file", "^type"), ("type", "params param typeparams typeparam namedtypeparams namedtypeparam par pars", "type", "typeparamdef"), ("type", "subtype subtypes sub", "type", "typebody/tsub"),
     ("type", "refs ref references", "type", "^typeref"), ("type", "paramsrefs paramsref", "type", "typeparamdef/^typeparamref"), ("type", "specref specrefs refspec refspecs", "spec", "^typeref/^specpar/^specclause|^typeref/^specguard/^specclause"),
     ("record", "references reference refs ref", "expression", "^recref"), ("record", "fields field", "field", "field"), ("record", "file", "file", "^record"),
-    ("field", "references reference refs ref", "expression", "^fieldref"), ("field", "record rec", "record", "^field"), ("field", "type types", "type", "fielddef/typeref"), ("field", "file", "file", "^field/^record"),
+    ("field", "references reference refs ref", "expression", "^fieldref"), ("field", "record rec", "record", "^field"), ("field", "type types", "type", f"fielddef/{_NAMED}"), ("field", "file", "file", "^field/^record"),
     ("macro", "references reference refs ref", "expression", "^mref"), ("macro", "clause_references clause_reference clause_refs clause_ref", "clause", "^cmref"), ("macro", "all_references all_reference all_refs all_ref", "expression", "^mref|^cmref"), ("macro", "file", "file", "^macro"),
-    ("expression", "fundef", "function", "^body/^funcl|^pattern/^funcl|^guard/^funcl"), ("expression", "functions function funs fun", "function", "esub*/funeref"), ("expression", "dynamic_functions dynamic_function dynfuns dynfun", "function", "esub*/dynref|esub*/ambref"),
+    ("expression", "fundef", "function", "^esub*/^body/^funcl|^esub*/^pattern/^funcl|^esub*/^guard/^funcl"), ("expression", "functions function funs fun", "function", "esub*/funeref"), ("expression", "dynamic_functions dynamic_function dynfuns dynfun", "function", "esub*/dynref|esub*/ambref"),
     ("expression", "variables variable vars var", "variable", "esub*/varref|esub*/varbind"), ("expression", "records record recs rec", "record", "esub*/recref"), ("expression", "macros macro", "macro", "esub*/mref"),
     ("expression", "subexpression subexpr esub sub", "expression", "esub*"), ("expression", "parameter param", "expression", "esub"), ("expression", "top_expression top_expr top", "expression", "top"),
-    ("expression", "reach", "expression", "flow*"), ("expression", "origin", "expression", "^flow*"), ("expression", "file", "file", "^body/^funcl/^func|^pattern/^funcl/^func"),
+    ("expression", "reach", "expression", "flow*"), ("expression", "origin", "expression", "^flow*"), ("expression", "file", "file", "^esub*/^body/^funcl/^func|^esub*/^pattern/^funcl/^func|^esub*/^guard/^funcl/^func"),
 )
 
 _COUNT = {
@@ -153,7 +189,7 @@ def program_catalog(tables: dict[str, DataFrame], edges: DataFrame, snapshot: st
     (src_id, tag, idx, dst_id), ids unique over all entities. Missing columns are null properties. With
     spans(file, entity, id, start, end), queries may start where a position is: run(catalog, "@fun", file=, position=)."""
     spark = edges.sparkSession
-    catalog = Catalog(spark, snapshot=snapshot)
+    catalog = Catalog(spark, snapshot=snapshot, edges=edges)
     full = {}
     for name, (_, columns) in ENTITIES.items():
         table = tables.get(name)
@@ -163,12 +199,19 @@ def program_catalog(tables: dict[str, DataFrame], edges: DataFrame, snapshot: st
             if names[0] not in table.columns:
                 table = table.withColumn(names[0], F.lit(None).cast({"int": "bigint", "bool": "boolean"}.get(kind, "string")))
         full[name] = table if "text" in table.columns else table.withColumn("text", F.lit(None).cast("string"))
+    paths = Paths(edges, full["type"].select("id", "name"))
+
+    def selected(path: str) -> DataFrame:
+        path, other, _ = path.partition(" -")
+        pairs = paths.follow(path)
+        return pairs.where("src <> dst") if other else pairs
+
     for name, (starts, columns) in ENTITIES.items():
         specs = [(c.split(":")[0].split(","), c.split(":")[1]) for c in columns.split()]
         table = full[name]
-        selectors = [Selector(tuple(n.split()), r, pairs=(lambda p=p: follow(edges, p))) for e, n, r, p in SELECTORS if e == name]
+        selectors = [Selector(tuple(n.split()), r, pairs=(lambda p=p: selected(p))) for e, n, r, p in SELECTORS if e == name]
         properties = [Property(tuple(names), kind, names[0]) for names, kind in specs]
-        properties += [Property(tuple(n.split()), "int", pairs=(lambda p=p: M.counted(follow(edges, p))), default=0) for n, p in _COUNT.get(name, ())]
+        properties += [Property(tuple(n.split()), "int", pairs=(lambda p=p: M.counted(paths.follow(p))), default=0) for n, p in _COUNT.get(name, ())]
         if name in ("file", "function", "clause"):
             properties += [Property(names, "int", e) for names, e in layout_expressions("text")] + _metrics(name, full, edges)
         if name == "function":
