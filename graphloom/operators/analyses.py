@@ -13,6 +13,32 @@ def unreferenced(entities: DataFrame, references: DataFrame) -> DataFrame:
     return entities.join(references.select("id"), "id", "left_anti")
 
 
+def dead_kinds(nodes: dict[str, DataFrame], edges: DataFrame) -> DataFrame:
+    """(kind, id) of a program's nodes that could go, by eight kinds.
+
+    fun: defined, not exported, no reference or call, static or dynamic. rec, recfield, macro, var: no reference. pattern: an
+    expression that binds variables, none of which has a reference. guard: the constant true. expr: of a clause's body, not
+    its last and without side effects.
+    """
+    def ends(*tags):
+        return edges.where(F.col("tag").isin(*tags)).select(F.col("dst_id").alias("id")).distinct()
+
+    def of(kind, rows):
+        return rows.select(F.lit(kind).alias("kind"), "id")
+
+    functions = nodes["function"].where("coalesce(defined, true) and not coalesce(exported, false)")
+    expressions = nodes["expression"]
+    out = of("fun", unreferenced(functions, ends("funeref", "funlref", "dynref", "ambref", "funcall", "dyncall", "ambcall", "funexp", "funimp")))
+    for kind, entity, tags in (("rec", "record", ["recref"]), ("recfield", "field", ["fieldref"]), ("macro", "macro", ["mref", "cmref"]), ("var", "variable", ["varref"])):
+        out = out.union(of(kind, unreferenced(nodes[entity], ends(*tags))))
+    binds = edges.where("tag = 'varbind'").select("src_id", F.col("dst_id").alias("id"))
+    used = binds.join(ends("varref").withColumn("used", F.lit(1)), "id", "left").groupBy(F.col("src_id").alias("id")).agg(F.count("used").alias("n"))
+    out = out.union(of("pattern", expressions.join(used.where("n = 0"), "id", "left_semi")))
+    out = out.union(of("guard", expressions.where("type = 'atom' and value = 'true'").join(ends("guard"), "id", "left_semi")))
+    idle = expressions.where("not coalesce(is_last, false) and not coalesce(has_side_effect, false)")
+    return out.union(of("expr", idle.join(ends("body"), "id", "left_semi")))
+
+
 def eliminable(members: DataFrame, parent: str) -> DataFrame:
     """The members that are not the only one of their parent."""
     many = members.groupBy(parent).count().where("count > 1").select(parent)

@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import trees
+from graphloom.functions import clone_measures
+from graphloom.operators import analyses, clustering, trees
 from graphloom.operators.compiler import run
 from graphloom.sources.program import Paths
 from graphloom.sources.scratch import settled
-from graphloom.sources.star_program import NODES, edges_sql, nodes_sql, star_program
+from graphloom.sources.star_program import NODES, edges_sql, nodes_sql, star_program, star_tables
 
 QUERIES, ORACLES = {}, {}
 
@@ -280,3 +281,68 @@ def q_tree_common_ancestors(spark, sf_dir):
 @_register("q_prog_help", "SELECT * FROM (VALUES " + ", ".join(f"('variable', '{k}', '{n}', '{t}')" for k, n, t in (("selector", "references", "expression"), ("selector", "bindings", "expression"), ("selector", "function_definition", "function"), ("property", "name", "string"))) + ") AS v(entity, kind, name, type)")
 def q_prog_help(spark, sf_dir):
     return run(star_program(spark, sf_dir), "files.functions.variables.?").df.select("entity", "kind", "name", "type")
+
+
+# --- dead code, measures of clauses, weights of calls
+
+
+def _ends(*tags: str) -> str:
+    return "(SELECT dst_id FROM e WHERE tag IN (" + ", ".join(f"'{t}'" for t in tags) + "))"
+
+
+def _nodes(entity: str) -> str:
+    return "(" + nodes_sql(entity).replace("{", "").replace("}", "") + ")"
+
+
+_DEAD = [
+    f"SELECT 'fun' AS kind, id FROM {_nodes('function')} WHERE defined AND NOT exported AND id NOT IN {_ends('funeref', 'funlref', 'dynref', 'ambref', 'funcall', 'dyncall', 'ambcall', 'funexp', 'funimp')}",
+    *[f"SELECT '{k}', id FROM {_nodes(n)} WHERE id NOT IN {_ends(*t)}" for k, n, t in (("rec", "record", ["recref"]), ("recfield", "field", ["fieldref"]), ("macro", "macro", ["mref", "cmref"]), ("var", "variable", ["varref"]))],
+    f"SELECT 'pattern', id FROM {_nodes('expression')} WHERE id IN (SELECT src_id FROM e WHERE tag = 'varbind') AND id NOT IN (SELECT src_id FROM e WHERE tag = 'varbind' AND dst_id IN {_ends('varref')})",
+    f"SELECT 'guard', id FROM {_nodes('expression')} WHERE type = 'atom' AND value = 'true' AND id IN {_ends('guard')}",
+    f"SELECT 'expr', id FROM {_nodes('expression')} WHERE NOT is_last AND NOT has_side_effect AND id IN {_ends('body')}",
+]
+
+
+@_register("q_prog_dead", f"WITH e AS ({_EDGES}) " + " UNION ALL ".join(_DEAD))
+def q_prog_dead(spark, sf_dir):
+    return analyses.dead_kinds(*star_tables(spark, sf_dir))
+
+
+def _linked(tag: str) -> str:
+    return f"(SELECT count(*) FROM (SELECT DISTINCT dst_id, x FROM t JOIN e ON src_id = x AND tag = '{tag}' JOIN x ON x.id = t.x WHERE t.c = c.id))"
+
+
+_MEASURES = {
+    "nodes": "(SELECT count(*) FROM t JOIN x ON x.id = t.x WHERE t.c = c.id)",
+    **{n: f"(SELECT count(*) FROM t JOIN x ON x.id = t.x WHERE t.c = c.id AND x.type IN ({', '.join(repr(v) for v in of)}))" for n, of in clone_measures.TYPES.items()},
+    **{n: _linked(tag) for n, tag in (("arcs", "exprcl"), ("var_binds", "varbind"), ("records", "recref"), ("macs", "mref"))},
+    "dirty_expressions": "(SELECT count(*) FROM t JOIN x ON x.id = t.x WHERE t.c = c.id AND x.has_side_effect)",
+    "unique_funcalls": "(SELECT count(DISTINCT dst_id) FROM t JOIN x ON x.id = t.x JOIN e ON src_id = t.x AND tag = 'funeref' WHERE t.c = c.id)",
+    "unused_matching": "(SELECT count(*) FROM t JOIN x ON x.id = t.x WHERE t.c = c.id AND x.type = 'match_expr' AND t.x NOT IN (SELECT src_id FROM e WHERE tag = 'varbind'))",
+    "tles": "(SELECT count(*) FROM e JOIN x ON x.id = dst_id WHERE tag = 'body' AND src_id = c.id)",
+    "guarded_clauses": "(SELECT least(count(*), 1) FROM e WHERE tag = 'guard' AND src_id = c.id)",
+}
+
+
+@_register("q_prog_clone_measures", f"WITH RECURSIVE e AS ({_EDGES}), x AS {_nodes('expression')}, t(c, x) AS (SELECT src_id, dst_id FROM e WHERE tag IN ('pattern', 'guard', 'body') UNION SELECT c, dst_id FROM t JOIN e ON src_id = x AND tag = 'esub') "
+           "SELECT id, " + ", ".join(f"CAST({sql} AS BIGINT) AS {n}" for n, sql in _MEASURES.items()) + f" FROM {_nodes('clause')} c")
+def q_prog_clone_measures(spark, sf_dir):
+    return clone_measures.clause_measures(*star_tables(spark, sf_dir)).select("id", *[F.col(n).cast("bigint").alias(n) for n in _MEASURES])
+
+
+@_register("q_prog_call_weights", f"""WITH e AS ({_EDGES}), w AS (SELECT least(src_id, dst_id) AS a, greatest(src_id, dst_id) AS b, CAST(count(*) AS DOUBLE) AS w FROM e WHERE tag IN ('funcall', 'dyncall') AND src_id <> dst_id GROUP BY 1, 2),
+t AS (SELECT id, sum(w) AS t FROM (SELECT a AS id, w FROM w UNION ALL SELECT b, w FROM w) GROUP BY id) SELECT a, b, round(w / (x.t + y.t - w), 9) AS weight FROM w JOIN t x ON x.id = a JOIN t y ON y.id = b""")
+def q_prog_call_weights(spark, sf_dir):
+    edges = star_tables(spark, sf_dir)[1].where("tag in ('funcall', 'dyncall')")
+    calls = edges.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), F.lit(1).alias("n"))
+    return clustering.call_weights(calls, distance="call_sum").withColumn("weight", F.round("weight", 9))
+
+
+def q_prog_clusters(spark, sf_dir):
+    edges = star_tables(spark, sf_dir)[1].where("tag in ('funcall', 'dyncall')")
+    calls = edges.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), F.lit(1).alias("n"))
+    ids = calls.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return clustering.agglomerative(ids, clustering.call_weights(calls, "zero_one"), 0.3)
+
+
+QUERIES["q_prog_clusters"] = q_prog_clusters  # joins in rounds: tests hold them against joining one pair after the other

@@ -99,13 +99,18 @@ def nodes_sql(entity: str) -> str:
     return f"SELECT {columns} FROM {source}"
 
 
-def star_program(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The catalog of the program graph; its links are computed once."""
+def star_tables(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The nodes by entity, and the links, which are computed once."""
     names = ("nation", "supplier", "customer", "orders", "part")
     tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
     def query(sql: str) -> DataFrame:
         return spark.sql(sql, **{n: t for n, t in tables.items() if f"{{{n}}}" in sql})
 
-    nodes = {e: query(nodes_sql(e)).withColumn("id", F.col("id").cast("bigint")) for e in NODES}
-    return program_catalog(nodes, settled(query(edges_sql())), snapshot=sf_dir)
+    return {e: query(nodes_sql(e)).withColumn("id", F.col("id").cast("bigint")) for e in NODES}, settled(query(edges_sql()))
+
+
+def star_program(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The catalog of the program graph."""
+    nodes, edges = star_tables(spark, sf_dir)
+    return program_catalog(nodes, edges, snapshot=sf_dir)
