@@ -16,6 +16,8 @@ DELTAS = {
     "num_of_comment": 5, "macs": 2, "funcls": 1, "funcls_guards": 4, "tokens": 50, "name": 0,
 }
 MIN_LENGTH, MIN_NUMBER, DIFF_LIMIT, MAX_RANK = 32, 2, 0.1, 5
+#: Measures whose cells close_classes joins by; each makes three rows of one.
+CELLS = 3
 
 
 def words(text: Column) -> Column:
@@ -126,20 +128,21 @@ def close_classes(units: DataFrame, block: list[str], deltas: dict[str, int]) ->
     their delta each: (block, a, members_a, b, members_b, and each measure m as m1 and m2). Units with equal block and
     measures are one class, named by its least id; a class meets itself if it has several units, others once, a < b.
 
-    Measures are cut into cells one wider than the delta, so near classes lie in neighbouring cells; only those meet.
+    The first CELLS measures are cut into cells one wider than the delta, so near classes lie in neighbouring cells; only
+    those meet, and the other measures are compared there. Put the measures of most values first.
     Units with a null in a block column or measure are left out.
     """
     names = list(deltas)
     classes = settled(units.dropna(subset=[*block, *names]).groupBy(*block, *names).agg(F.min("id").alias("id"), F.count("*").alias("members")))
     cell = lambda m: F.floor(F.col(m) / (deltas[m] + 1))
-    a = classes.select(*block, F.col("id").alias("a"), F.col("members").alias("members_a"), *[F.col(m).alias(f"{m}1") for m in names], *[cell(m).alias(f"{m}_cell") for m in names])
-    b = classes.select(*block, F.col("id").alias("b"), F.col("members").alias("members_b"), *[F.col(m).alias(f"{m}2") for m in names], *[cell(m).alias(f"{m}_cell") for m in names])
-    for m in names:
+    a = classes.select(*block, F.col("id").alias("a"), F.col("members").alias("members_a"), *[F.col(m).alias(f"{m}1") for m in names], *[cell(m).alias(f"{m}_cell") for m in names[:CELLS]])
+    b = classes.select(*block, F.col("id").alias("b"), F.col("members").alias("members_b"), *[F.col(m).alias(f"{m}2") for m in names], *[cell(m).alias(f"{m}_cell") for m in names[:CELLS]])
+    for m in names[:CELLS]:
         b = b.withColumn(f"{m}_cell", F.explode(F.array(*[F.col(f"{m}_cell") + k for k in (-1, 0, 1)])))
     near = (F.col("a") < F.col("b")) | (F.col("a") == F.col("b")) & (F.col("members_a") > 1)
     for m in names:
         near = near & (F.abs(F.col(f"{m}1") - F.col(f"{m}2")) <= deltas[m])
-    return a.join(b, [*block, *[f"{m}_cell" for m in names]]).where(near).drop(*[f"{m}_cell" for m in names])
+    return a.join(b, [*block, *[f"{m}_cell" for m in names[:CELLS]]]).where(near).drop(*[f"{m}_cell" for m in names[:CELLS]])
 
 
 def ranked(pairs: DataFrame, categories: list[tuple[str, str, int]]) -> DataFrame:
