@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.functions.clone_measures import text_measures
+from graphloom.functions.clone_measures import clause_measures, text_measures
 from graphloom.operators.clone_search import different_calls, few_tokens, find_clones, rejected
 
 
@@ -42,3 +42,19 @@ def test_filters_and_text_measures(spark):
     text = spark.createDataFrame([("f(X) -> % one, 2\n\n%% two\n  X + 1.",), (None,)], "text string")
     got = [tuple(r) for r in text.select(*[c.alias(n) for n, c in text_measures(F.col("text")).items()]).collect()]
     assert got == [(5, 2, 2, 7), (0, 0, 0, 0)]
+
+
+def test_clause_measures(spark):
+    make = spark.createDataFrame
+    expressions = [(50, "infix_expr", False), (30, "case_expr", False), (33, "application", False), (34, "application", True), (31, "match_expr", False), (32, "variable", False)]
+    nodes = {
+        "clause": make([(20,), (21,)], "id long"), "function": make([(12, "throw"), (13, "spawn")], "id long, name string"),
+        "variable": make([(60, "Xy"), (61, "Long1")], "id long, name string"),
+        "expression": make(expressions, "id long, type string, is_last boolean").withColumn("has_side_effect", F.col("type") == "application"),
+    }
+    links = [(20, "guard", 50), (20, "body", 30), (20, "body", 33), (20, "body", 34), (30, "exprcl", 40), (30, "exprcl", 41), (30, "esub", 31), (31, "esub", 32), (31, "varbind", 60), (32, "varref", 61), (33, "funeref", 12), (34, "funeref", 13)]
+    edges = make([(a, t, 1, b) for a, t, b in links], "src_id long, tag string, idx int, dst_id long")
+    one, none = (r.asDict() for r in clause_measures(nodes, edges).orderBy("id").collect())
+    want = {"nodes": 6, "decisions": 1, "arcs": 2, "indep_path": 2, "funcalls": 2, "unique_funcalls": 2, "throw": 1, "spawn": 1, "exits": 2, "avg_complexity_of_decs": 2.0, "avg_length_of_var_names": 3.5, "var_binds": 1, "unused_matching": 0, "tles": 3, "guarded_clauses": 1, "dirty_expressions": 2, "infix_ops": 1}
+    assert {k: one[k] for k in want} == want
+    assert {k: v for k, v in none.items() if v} == {"id": 21, "indep_path": 1}
