@@ -306,11 +306,17 @@ def q_clone_lev(spark, sf_dir):
     return clones.similar_by_edits(names, 0.7).withColumn("score", F.round("score", 9))
 
 
-def q_clone_dice(spark, sf_dir):
-    return clones.similar_by_grams(_units(spark, sf_dir))
+_DICE_SQL = r"""w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+    g AS (SELECT id, list_sort(list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS g FROM w WHERE len(w) > 0),
+    c AS (SELECT min(id) AS id, count(*) AS members, g, len(g) AS n FROM g GROUP BY g), u AS (SELECT id, n, unnest(g) AS x FROM c),
+    m AS (SELECT a.id AS a, b.id AS b, 2 * count(*) / (a.n + b.n) AS score FROM u a JOIN u b ON a.x = b.x AND a.id < b.id GROUP BY a.id, a.n, b.id, b.n),
+    dice AS (SELECT a, x.members AS members_a, b, y.members AS members_b, score FROM m JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE score >= 0.9 - 1e-12
+        UNION ALL SELECT id, members, id, members, 1.0 FROM c WHERE members > 1)"""
 
 
-QUERIES["q_clone_dice"] = q_clone_dice  # its SQL is too slow on whole tables: tests hold it against all pairs
+@_register("q_clone_dice", f"WITH {_DICE_SQL} SELECT * FROM dice")
+def q_clone_dice(spark, sf_dir):
+    return clones.similar_by_grams(_units(spark, sf_dir))
 
 
 @_register("q_clone_rank", """WITH d AS (SELECT min(p_partkey) AS id, count(*) AS n, p_brand, p_size AS x, length(p_name) AS y, length(p_type) AS z FROM part GROUP BY p_brand, x, y, z),
@@ -335,12 +341,24 @@ def q_clone_ngrams(spark, sf_dir):
     return clones.token_runs(_units(spark, sf_dir).select("id", "text"))
 
 
+# Takes or leaves the least free node of each state; leaving it can only help where a free node is no neighbour of it.
+_CLIQUES_SQL = """near AS (SELECT a AS v, list(b) AS nb FROM (SELECT a, b FROM pairs WHERE a <> b UNION SELECT b, a FROM pairs WHERE a <> b) GROUP BY a),
+    s(r, free, done) AS (SELECT [v], list_filter(nb, lambda y: y > v), list_filter(nb, lambda y: y < v) FROM near
+    UNION ALL SELECT CASE WHEN take THEN list_append(r, v) ELSE r END, CASE WHEN take THEN list_intersect(free, nb) ELSE list_filter(free, lambda y: y <> v) END,
+        CASE WHEN take THEN list_intersect(done, nb) ELSE list_append(done, v) END
+    FROM s JOIN near ON v = list_min(free) CROSS JOIN (VALUES (true), (false)) t(take) WHERE take OR len(list_filter(free, lambda y: y <> v AND NOT list_contains(nb, y))) > 0)
+    SELECT array_to_string(list_sort(r), '-') AS group_id, unnest(r) AS member FROM s WHERE len(free) = 0 AND len(done) = 0 AND len(r) > 1"""
+
+
+@_register("q_clone_groups", f"WITH RECURSIVE {_PARTNER}, pairs AS (SELECT src AS a, dst AS b FROM partner), {_CLIQUES_SQL}")
 def q_clone_groups(spark, sf_dir):
     e = _partner(spark, sf_dir).where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     return clones.clique_groups(e)
 
 
-QUERIES["q_clone_groups"] = q_clone_groups  # maximal cliques: tests hold them against small cases
+@_register("q_clone_dice_groups", f"WITH RECURSIVE {_DICE_SQL}, pairs AS (SELECT a, b FROM dice), {_CLIQUES_SQL}")
+def q_clone_dice_groups(spark, sf_dir):
+    return clones.clique_groups(q_clone_dice(spark, sf_dir).select("a", "b"))
 
 
 @_register("q_clone_diagonal", """WITH l AS (SELECT doc_id AS p, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
