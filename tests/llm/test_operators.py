@@ -77,6 +77,35 @@ def test_suffix_dedup_long_texts_chunks_and_windows(spark, monkeypatch):
         assert got == brute_repeats(rows, window)
 
 
+def test_suffix_dedup_common_line(spark, monkeypatch):
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, after = text(78), [text(60) for _ in range(4)]
+    rows = [(k, text(90) + line + (after[k % 4][: 8 + k % 50] if k % 3 == 0 else "") + text(90)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc long, text string").repartition(4)
+    gone = {}
+    for r in suffix_dedup.repeated_ranges(suffix_dedup.Scratch(spark, "test"), docs, 100, chunk=8).collect():
+        start, size = r["at"] >> suffix_dedup.SHIFT, r["at"] & (1 << suffix_dedup.SHIFT) - 1
+        gone.setdefault(r["doc"], set()).update(range(start, start + size + 99))
+    got = {d: "".join(c for k, c in enumerate(t) if k not in gone.get(d, ())).encode() for d, t in rows}
+    assert got == brute_repeats(rows, 100)
+    assert sum(map(len, gone.values())) > 5000
+
+    def dealt(window):  # each row that reaches a sort, under a number of its own
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                own = [pa.array(np.random.default_rng().integers(0, 1 << 60, b.num_rows)) for _ in "ab"]
+                yield pa.RecordBatch.from_arrays(own, ["doc", "at"])
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_ranges", dealt)
+    count = suffix_dedup.repeated_ranges(suffix_dedup.Scratch(spark, "test"), docs, 100, chunk=8).count()
+    assert count < 5 * len(rows)  # not a row for each chunk of the line's 400 pieces
+
+
 def test_covering_masks(spark):
     masks = simhash.covering_masks(4)
     rng = random.Random(1)
