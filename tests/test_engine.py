@@ -151,6 +151,18 @@ def test_similar_by_grams(spark):
     assert {(r["a"], r["members_a"], r["b"], r["members_b"]) for r in got.collect()} == want
 
 
+def test_similar_by_grams_shuffles_first_grams_only(spark):
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(600)] for _ in range(150)]
+    rows = [" ".join(w) for w in base] + [" ".join(w[:-3]) for w in base[::5]]
+    units = spark.createDataFrame(list(enumerate(rows)), "id int, text string").repartition(2).cache()
+    units.count()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = written()
+    assert clones.similar_by_grams(units).count() == 30
+    assert written() - before < 3 * sum(map(len, rows))
+
+
 def test_runs_and_bindings(spark):
     w = [f"t{i}" for i in range(40)]
     rows = [(1, " ".join(w)), (2, "x " + " ".join(w[3:]) + " y"), (3, " ".join(w[:31])), (4, None)]
