@@ -106,6 +106,22 @@ def test_suffix_dedup_common_line(spark, monkeypatch):
     assert count < 5 * len(rows)  # not a row for each chunk of the line's 400 pieces
 
 
+def test_suffix_sort_leaves_single_windows_out(monkeypatch):
+    import pyarrow as pa
+
+    rng, held = random.Random(3), []
+    text = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    line, twice = text(70), text(130)
+    pieces = [text(50) + line + text(50) for _ in range(2000)] + [twice, twice]  # 170 and 130 bytes
+    ats = [1 << suffix_dedup.SHIFT | len(p) - 99 for p in pieces]
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * len(pieces)), pa.array(range(len(pieces))), pa.array(ats), pa.array(pieces)], ["h", "doc", "at", "piece"])
+    whole = suffix_dedup.repeated_windows
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda pieces, *rest: held.append(sum(map(len, pieces))) or whole(pieces, *rest))
+    out = [r for b in suffix_dedup._sorted_ranges(100)(iter([batch])) for r in b.to_pylist()]
+    assert out == [{"doc": 2001, "at": ats[-1]}]
+    assert sum(held) == 260
+
+
 def test_covering_masks(spark):
     masks = simhash.covering_masks(4)
     rng = random.Random(1)
