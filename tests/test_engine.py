@@ -93,6 +93,29 @@ def test_cliques(spark):
     assert {frozenset(g) for g in got.values()} == {c for c in every if len(c) > 1 and not any(c < d for d in every)}
 
 
+def test_cliques_of_a_divided_component(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(f"n{a}", f"n{b}") for a in range(40) for b in range(a) if rng.random() < 0.8]
+    groups = lambda: sorted((r["group_id"], r["member"]) for r in clones.clique_groups(spark.createDataFrame(edges, "a string, b string")).collect())
+    whole = groups()
+    monkeypatch.setattr(clones, "SHARE", 100)
+    assert len({g for g, _ in whole}) > 100 and groups() == whole
+    assert clones.clique_groups(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_cliques_list_no_triangles(spark):
+    n = 150
+    edges = spark.createDataFrame([(a, b) for a in range(n) for b in range(a)], "a int, b int").cache()
+    edges.count()
+    before = _shuffled(spark)
+    assert [r["member"] for r in clones.clique_groups(edges).orderBy("member").collect()] == list(range(n))
+    assert _shuffled(spark) - before < 20 * edges.count()
+
+
+def _shuffled(spark):
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+
+
 def _all_cliques(nodes_, near):
     out = [[]]
     for v in nodes_:
@@ -163,6 +186,22 @@ def test_similar_by_grams_shuffles_first_grams_only(spark):
     assert written() - before < 3 * sum(map(len, rows))
 
 
+def test_similar_by_grams_of_a_crowd(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [[w if rng.random() > 0.025 else f"v{rng.randrange(10**6)}" for w in base] for _ in range(200)]
+    sets = [set(zip(r, r[1:])) for r in rows]
+    want = {(a, b): 2 * len(sets[a] & sets[b]) / (len(sets[a]) + len(sets[b])) for b in range(200) for a in range(b)}
+    want = {(a, b, round(x, 9)) for (a, b), x in want.items() if x >= 0.9 - 1e-12}
+    assert 3000 < len(want) < 19000
+    units = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "id int, text string").cache()
+    units.count()
+    before = _shuffled(spark)
+    got = [(r["a"], r["b"], round(r["score"], 9)) for r in clones.similar_by_grams(units).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert _shuffled(spark) - before < 2 * sum(len(" ".join(r)) for r in rows)  # no row for each pair
+
+
 def test_runs_and_bindings(spark):
     w = [f"t{i}" for i in range(40)]
     rows = [(1, " ".join(w)), (2, "x " + " ".join(w[3:]) + " y"), (3, " ".join(w[:31])), (4, None)]
